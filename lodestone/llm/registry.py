@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm import sharding
+import public_tokenizers
+from lodestone.llm import byte_bpe, packing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {"op5_sharding": op5_sharding}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode_documents(_documents(spark, sf_dir), path, public_tokenizers.PATTERN))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
 
 SQL: dict[str, str] = {}
