@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from lodestone.llm import byte_bpe, packing, sharding
+from lodestone.llm import byte_bpe, packing, sharding, vector_dedup, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
 
 SQL: dict[str, str] = {}
