@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from lodestone.llm import byte_bpe, packing, sharding, vector_dedup, vector_search
+from lodestone.llm import byte_bpe, packing, sharding, substring_dedup, toxicity, vector_dedup, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,15 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op1_toxicity": op1_toxicity, "op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
 
 SQL: dict[str, str] = {}
