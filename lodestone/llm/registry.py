@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from lodestone.llm import byte_bpe, packing, sharding, substring_dedup, toxicity, vector_dedup, vector_search
+from lodestone.llm import byte_bpe, jaccard_join, packing, sharding, substring_dedup, toxicity, vector_dedup, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op1_toxicity": op1_toxicity, "op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(_documents(spark, sf_dir)).drop("row")
+
+
+QUERIES = {"op8_jaccard_join": op8_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op1_toxicity": op1_toxicity, "op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
 
 SQL: dict[str, str] = {}
