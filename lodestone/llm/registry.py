@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from lodestone.llm import byte_bpe, jaccard_join, packing, sharding, substring_dedup, toxicity, vector_dedup, vector_search
+from lodestone.llm import byte_bpe, jaccard_join, packing, personal_data, quality, sharding, substring_dedup, toxicity, vector_dedup, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(_documents(spark, sf_dir)).drop("row")
 
 
-QUERIES = {"op8_jaccard_join": op8_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op1_toxicity": op1_toxicity, "op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(personal_data.find(_documents(spark, sf_dir)))
+
+
+QUERIES = {"op7_personal_data": op7_personal_data, "op3_quality": op3_quality, "op8_jaccard_join": op8_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op1_toxicity": op1_toxicity, "op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
 
 SQL: dict[str, str] = {}
