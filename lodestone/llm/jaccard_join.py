@@ -149,8 +149,13 @@ def _blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
 
-def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999, branching: float = 1.6, levels: int = 3, limit: int = 256, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, class_id, n_links, component_id and kept of every row.
+def _keyed(id_col: str, text_col: str) -> list:
+    text = text_of(text_col)
+    return [F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("key"), text.alias("text")]
+
+
+def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999, branching: float = 1.6, levels: int = 3, limit: int = 256, block: int = 512, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, class_id, n_links, component_id, kept and the columns in ``carry`` of every row.
 
     Links join rows whose sets have a Jaccard similarity of ``threshold`` or more; ``n_links`` counts
     the other rows linked directly, copies included. ``class_id`` is the least doc_id of the rows with an
@@ -162,6 +167,7 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
     """
     runs = runs_for(recall, threshold, branching, levels)
     sampler = Sampler(runs, levels, branching)
+    names = [f"carried_{i}" for i in range(len(carry))]
 
     def summarise(batches):
         hashes = Memo(xxhash.xxh64_intdigest)
@@ -174,10 +180,13 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
                 out["sketch"].append(sampler.sketch(tokens) if len(tokens) else None)
                 out["paths"].append(sampler.paths(tokens) if len(tokens) else None)
             kinds = {"print": pa.binary(), "size": pa.int64(), "sketch": pa.binary(), "paths": pa.list_(pa.list_(pa.list_(pa.int64())))}
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "key")), *(pa.array(out[c], t) for c, t in kinds.items())], ["row", "doc_id", "key", *kinds])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "key")), *(pa.array(out[c], t) for c, t in kinds.items()), *(batch.column(c) for c in names)], ["row", "doc_id", "key", *kinds, *names])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.md5(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
-    rows = save(texts.mapInArrow(summarise, "row long, doc_id long, key string, print binary, size long, sketch binary, paths array<array<array<long>>>"), "join-rows")
+    carried = [F.col(c).alias(x) for c, x in zip(carry, names, strict=True)]
+    every = docs.select(*_keyed(id_col, text_col), *carried)
+    types = dict(every.dtypes)
+    schema = "row long, doc_id long, key string, print binary, size long, sketch binary, paths array<array<array<long>>>" + "".join(f", {x} {types[x]}" for x in names)
+    rows = save(every.mapInArrow(summarise, schema), "join-rows")
     classes = save(
         rows.where("print is not null").groupBy("print").agg(
             F.min("row").alias("rep"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("key").alias("key"),
@@ -229,7 +238,7 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
 
     # exact sets, once for each pair of blocks of a cluster
     asked = clusters.join(classes.select("rep", "key", "copies"), "rep")
-    once = texts.select("key", "text").groupBy("key").agg(F.first("text").alias("text"))  # copies meet before the shuffle
+    once = docs.select(*_keyed(id_col, text_col)).select("key", "text").groupBy("key").agg(F.first("text").alias("text"))  # copies meet before the shuffle
     held = once.join(asked, "key").select("cluster", "rep", "copies", "text")
 
     def sets(batches):
@@ -280,7 +289,16 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
     facts = facts.join(least, "component").select("print", "component", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     placed = rows.select("row", "doc_id", "print").join(facts, "print", "left")
     first = placed.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")).select("component", F.col("first.row").alias("first"))
-    return placed.join(first, "component", "left").select(
+    done = placed.join(first, "component", "left").select(
         "row", "doc_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"),
     )
+    if not carry:
+        return done
+    return done.join(rows.select("row", *names), "row").select(*done.columns, *(F.col(x).alias(c) for c, x in zip(carry, names, strict=True)))
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with one row of each component of links, as ``join_documents`` marks it."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return join_documents(docs, carry=rest, **settings).where("kept").select(docs.columns)

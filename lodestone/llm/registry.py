@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from lodestone.llm import byte_bpe, jaccard_join, packing, personal_data, quality, sharding, substring_dedup, toxicity, vector_dedup, vector_search
 
@@ -55,6 +56,18 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(personal_data.find(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op7_personal_data": op7_personal_data, "op3_quality": op3_quality, "op8_jaccard_join": op8_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op1_toxicity": op1_toxicity, "op6_vector_dedup": op6_vector_dedup, "op10_vector_search": op10_vector_search, "op4_byte_bpe": op4_byte_bpe, "op9_packing": op9_packing, "op5_sharding": op5_sharding}
+QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality": op3_quality,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_sharding": op5_sharding,
+    "op6_vector_dedup": op6_vector_dedup,
+    "op7_personal_data": op7_personal_data,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_packing": op9_packing,
+    "op10_vector_search": op10_vector_search,
+}
 
 SQL: dict[str, str] = {}
