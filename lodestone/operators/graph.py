@@ -85,15 +85,15 @@ def _credits(neighbours: dict, root) -> dict:
     return out
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
+def edge_betweenness(edges: DataFrame, roots: int = 64) -> DataFrame:
     """src < dst, betweenness: shortest paths over each edge, half of the sum over all roots (M7).
 
-    Roots are independent: each task has the adjacency of a graph that fits a machine and sums the
-    credits of its own roots before the shuffle. Larger graphs are cut by components first, as no path
-    crosses them.
+    Roots are independent: a task gets the adjacency of one component, as no path crosses two, and
+    ``roots`` of its nodes, and sums their credits by edge before the shuffle.
     """
     parts = connected_components(edges)
-    grouped = edges.join(parts, F.col("src") == F.col("node")).groupBy("component")
+    blocks = parts.groupBy("component").agg(F.ceil(F.count("*") / roots).cast("int").alias("blocks"))
+    grouped = edges.join(parts, F.col("src") == F.col("node")).join(blocks, "component").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("component", "block")
     kind = dict(edges.dtypes)["src"]
 
     def run(table: pa.Table) -> pa.Table:
@@ -101,13 +101,14 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
         for a, b in zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True):
             neighbours.setdefault(a, []).append(b)
         total: dict = {}
-        for root in sorted(neighbours):
+        own, step = table.column("block")[0].as_py(), table.column("blocks")[0].as_py()
+        for root in sorted(neighbours)[own::step]:
             for edge, share in _credits(neighbours, root).items():
                 total[edge] = total.get(edge, 0.0) + share
-        keys = sorted(total)
-        return pa.table({"src": pa.array([a for a, _ in keys], table.schema.field("src").type), "dst": pa.array([b for _, b in keys], table.schema.field("src").type), "betweenness": pa.array([total[k] / 2 for k in keys], pa.float64())})
+        keys, node = sorted(total), table.schema.field("src").type
+        return pa.table({"src": pa.array([a for a, _ in keys], node), "dst": pa.array([b for _, b in keys], node), "credit": pa.array([total[k] for k in keys], pa.float64())})
 
-    return grouped.applyInArrow(run, f"src {kind}, dst {kind}, betweenness double")
+    return grouped.applyInArrow(run, f"src {kind}, dst {kind}, credit double").groupBy("src", "dst").agg((F.sum("credit") / 2).alias("betweenness"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,17 +120,72 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))  # one row
 
 
-def girvan_newman(edges: DataFrame) -> DataFrame:
+def _parts(neighbours: dict) -> dict:
+    """The least node of each node's component."""
+    part: dict = {}
+    for start in sorted(neighbours):
+        if start not in part:
+            part[start], queue = start, [start]
+            while queue:
+                for to in neighbours[queue.pop()]:
+                    if to not in part:
+                        part[to] = start
+                        queue.append(to)
+    return part
+
+
+def _divide(pairs: list[tuple]) -> dict:
+    """The best division of a small graph, given once for each edge."""
+    neighbours: dict = {}
+    for a, b in pairs:
+        neighbours.setdefault(a, set()).add(b)
+        neighbours.setdefault(b, set()).add(a)
+    degree = {v: len(x) for v, x in neighbours.items()}
+    m, left, best, chosen = len(pairs), dict.fromkeys(pairs, 0.0), float("-inf"), {v: v for v in neighbours}
+    stale = set(neighbours)  # nodes whose component has lost an edge
+    while left:
+        part = _parts(neighbours)
+        inside, held = dict.fromkeys(part.values(), 0), dict.fromkeys(part.values(), 0)
+        for a, b in pairs:
+            inside[part[a]] += part[a] == part[b]
+        for v, p in part.items():
+            held[p] += degree[v]
+        score = sum(inside[p] / m - (held[p] / (2 * m)) ** 2 for p in held)
+        if score > best + 1e-12:
+            best, chosen = score, part
+        changed = {part[v] for v in stale}
+        total: dict = {}
+        for root, p in part.items():
+            if p in changed:
+                for edge, share in _credits(neighbours, root).items():
+                    total[edge] = total.get(edge, 0.0) + share
+        left.update((e, v / 2) for e, v in total.items())
+        most = max(left.values())
+        gone = [e for e, v in left.items() if v >= most - 1e-9]
+        stale = {v for e in gone for v in e}
+        for a, b in gone:
+            del left[a, b]
+            neighbours[a].discard(b)
+            neighbours[b].discard(a)
+    return chosen
+
+
+def girvan_newman(edges: DataFrame, small: int = 20000) -> DataFrame:
     """node, label of the division with the largest modularity: edges with the largest betweenness go first, ties at once (M7).
 
-    Modularity keeps the degrees and the number of edges of the whole graph; the edgeless rest isn't scored.
+    Modularity keeps the degrees and the number of edges of the whole graph; the edgeless rest isn't
+    scored. The rounds follow one another, so a graph of at most ``small`` edges, which is counted
+    first, is divided in one place; a larger one by distributed rounds.
     """
     whole = checkpoint(edges.select("src", "dst"))
     nodes = whole.select(F.col("src").alias("node")).distinct()
+    if whole.limit(2 * small + 1).count() <= 2 * small:
+        kind = dict(whole.dtypes)["src"]
+        chosen = _divide([(r["src"], r["dst"]) for r in whole.where("src < dst").collect()])
+        return edges.sparkSession.createDataFrame(sorted(chosen.items()), f"node {kind}, label {kind}")
     left, best, chosen = whole, float("-inf"), None
     while left.limit(1).count():
-        parts = nodes.join(connected_components(left), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-        parts = checkpoint(parts)
+        parts = checkpoint(nodes.join(connected_components(left), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
         score = modularity(whole, parts).first()[0]
         if score > best + 1e-12:
             best, chosen = score, parts
@@ -138,7 +194,7 @@ def girvan_newman(edges: DataFrame) -> DataFrame:
         gone = ranked.where(F.col("betweenness") >= most - 1e-9).select("src", "dst")
         both = gone.unionByName(gone.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         left = checkpoint(left.join(both, ["src", "dst"], "left_anti"))
-    return chosen if chosen is not None else nodes.select("node", F.col("node").alias("label"))
+    return chosen
 
 
 def typed_edges(parts: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from lodestone.operators.streams import numbered
 
 
 def top_k(df: DataFrame, key: str, k: int = 10, count_name: str = "n") -> DataFrame:
@@ -53,9 +54,9 @@ def describe(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Codes from 0 in the order of the distinct values (F29, W2): only the distinct values are ranked."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(name, F.dense_rank().over(W.orderBy(column)) - 1)
-    return df.join(codes, column, "left")
+    """Codes from 0 in the order of the distinct values (F29, W2): only the distinct values are numbered, by ranges."""
+    codes = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), column, name=name)
+    return df.join(codes.withColumn(name, (F.col(name) - 1).cast("int")), column, "left").select(*df.columns, name)
 
 
 def minmax_scale(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

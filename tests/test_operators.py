@@ -115,6 +115,8 @@ def test_graph(spark):
     for node, label in rows(G.girvan_newman(e)):
         parts[label].add(node)
     assert sorted(map(sorted, parts.values())) == [[1, 2, 3], [4, 5, 6], [7, 8]]
+    tiny = edges_of(spark, [(1, 2), (2, 3)])
+    assert rows(G.girvan_newman(tiny, small=0)) == rows(G.girvan_newman(tiny))
     assert {n for n, _ in rows(G.label_propagation(e))} == set(range(1, 9))
     walks = G.weighted_walks(e.withColumn("weight", F.lit(1.0)), 5)
     steps = {(a, b): c for a, b, c in rows(walks)}
