@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestone.functions.scalars import sigmoid, step
 from lodestone.sources.tables import checkpoint
 
 
@@ -250,6 +251,6 @@ def metapath_score(samples: DataFrame, vectors: DataFrame, paths: DataFrame) ->
     """``samples`` with score: sigmoid of the sum of start x end x step(path) over the places."""
     at = lambda name: vectors.select(F.col("id").alias(f"{name}_node"), F.col("vector").alias(name))
     rows = samples.join(at("start"), "start_node").join(at("end"), "end_node").join(paths.select("path", F.col("vector").alias("gate")), "path")
-    product = F.zip_with(F.zip_with("start", "end", lambda a, b: a * b), "gate", lambda x, g: F.when(g >= 0, x).otherwise(0.0))
+    product = F.zip_with(F.zip_with("start", "end", lambda a, b: a * b), "gate", lambda x, g: x * step(g))
     dot = F.aggregate(product, F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("score", 1 / (1 + F.exp(-dot))).drop("start", "end", "gate")
+    return rows.withColumn("score", sigmoid(dot)).drop("start", "end", "gate")

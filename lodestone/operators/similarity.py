@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: The prime of the linear hashes.
-PRIME = 1000000007
+from lodestone.functions.scalars import PRIME
 
 
 def coefficients(n: int) -> list[tuple[int, int]]:
@@ -55,8 +53,3 @@ def lsh_jaccard(rows: DataFrame, group: str, item: str, threshold: float = 0.5,
     common = F.size(F.array_intersect("items", "others"))
     similarity = common / (F.size("items") + F.size("others") - common)
     return both.where(similarity >= threshold).select(F.col("g").alias("a"), F.col("h").alias("b"), F.round(similarity, 6).alias("similarity"))
-
-
-def first_of_each(df: DataFrame, key: str, *order) -> DataFrame:
-    """One row for each key: the first in the given order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -6,13 +6,15 @@ first or last position, so the work spreads over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestone.functions.scalars import hashed, linear_hashes, trailing_zeros
 from lodestone.sources.tables import checkpoint
 
-BITS, PRIME = 69997, 1000000007
+#: Bits of the filter.
+BITS = 69997
 
 
 def numbered(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
@@ -26,16 +28,6 @@ def numbered(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
     return own.join(F.broadcast(before.drop("_n")), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
 
-def linear_hashes(n: int, modulus: int) -> list[tuple[int, int]]:
-    """Fixed (a, b) of ``((a x + b) mod PRIME) mod modulus``; a below 2^20, so that x below 2^31 fits 64 bits."""
-    return [((48271 * (j + 1) + 12345 * j * j) % 1048573 + 1, (69621 * (j + 7)) % modulus) for j in range(n)]
-
-
-def hashed(x: Column, hashes: list[tuple[int, int]], modulus: int) -> Column:
-    """An array of all hashes of x."""
-    return F.array(*(F.pmod(F.pmod(x * F.lit(a) + F.lit(b), F.lit(PRIME)), F.lit(modulus)) for a, b in hashes))
-
-
 def bloom_by_window(rows: DataFrame, user: str, size: int, hashes: int = 50, bits: int = BITS) -> DataFrame:
     """window, unseen, false_positives, fpr: tests before inserts, with state kept across windows (M8).
 
@@ -52,12 +44,6 @@ def bloom_by_window(rows: DataFrame, user: str, size: int, hashes: int = 50, bit
     return every.withColumn("fpr", F.col("false_positives") / F.nullif(F.col("unseen"), F.lit(0)))
 
 
-def trailing_zeros(x: Column) -> Column:
-    """Zeros at the end of the binary form; of zero itself one (F16)."""
-    binary = F.bin(x)
-    return F.when(x == 0, 1).otherwise(F.length(binary) - F.length(F.rtrim(binary, F.lit("0"))))
-
-
 def distinct_by_window(rows: DataFrame, user: str, size: int, hashes: int = 50, modulus: int = 997) -> DataFrame:
     """window, truth, estimate: the mean over the hashes of 2^R, R the most trailing zeros in the window (M9)."""
     window = F.floor((F.col("seq") - 1) / size).alias("window")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import PRIME, linear_hashes
 from lodestone.operators import cluster as C
 from lodestone.operators import streams as S
 from lodestone.sources.tables import table
@@ -62,7 +63,7 @@ _SEQ = "e AS (SELECT user_id, row_number() OVER (ORDER BY ts, event_id) AS seq F
 
 
 def _arrays(modulus: int) -> str:
-    return "[" + ", ".join(f"(user_id * {a} + {b}) % {S.PRIME} % {modulus}" for a, b in S.linear_hashes(HASHES, modulus)) + "]"
+    return "[" + ", ".join(f"(user_id * {a} + {b}) % {PRIME} % {modulus}" for a, b in linear_hashes(HASHES, modulus)) + "]"
 
 
 _FM = f"""{_SEQ}, u AS (SELECT DISTINCT (seq - 1) // {WINDOW} AS w, user_id FROM e),

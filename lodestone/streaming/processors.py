@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.operators.streams import BITS, PRIME, linear_hashes
+from lodestone.functions.scalars import PRIME, linear_hashes
+from lodestone.operators.streams import BITS
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, *, files: int = 1) -> DataFrame:

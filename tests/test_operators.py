@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import PRIME, guarded_ratio, linear_hashes, sigmoid, step, text_number, trailing_zeros
 from lodestone.operators import baskets as B
 from lodestone.operators import cluster as C
 from lodestone.operators import graph as G
@@ -129,10 +130,10 @@ def test_streams_against_sequential_programs(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(users)], "t long, user long")
     seq = M.numbered(df.repartition(5), "t")
     assert [(r.t, r.seq) for r in seq.orderBy("t").collect()] == [(i, i + 1) for i in range(400)]
-    hashes, bits = M.linear_hashes(5, 311), 311
+    hashes, bits = linear_hashes(5, 311), 311
     field, seen, want = set(), set(), defaultdict(lambda: [0, 0])
     for i, u in enumerate(users):
-        own = {(a * u + b) % M.PRIME % bits for a, b in hashes}
+        own = {(a * u + b) % PRIME % bits for a, b in hashes}
         if u not in seen:
             want[i // 100][0] += 1
             want[i // 100][1] += own <= field
@@ -172,3 +173,9 @@ def test_relational_odd_rows(spark):
     assert {r.x for r in R.minmax_scale(df, ["x"]).collect()} == {0.0}
     assert rows(R.undirected(spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "a long, b long"), "a", "b")) == [(1, 2), (2, 1)]
     assert sum(r.n_items for r in R.partition_profile(df, 4).collect()) == 3 and R.partition_profile(df, 4).count() == 4
+
+
+def test_scalars(spark):
+    c = F.col("x")
+    df = spark.createDataFrame([(12,), (0,), (7,)], "x long").select("x", trailing_zeros(c).alias("z"), guarded_ratio(F.lit(6), c).alias("r"), sigmoid(c - c).alias("s"), step(c - 7).alias("t"), text_number(F.lit("word")).alias("w"))
+    assert rows(df) == [(0, 1, 0.0, 0.5, 0.0, 3296532592), (7, 0, 6 / 7, 0.5, 1.0, 3296532592), (12, 2, 0.5, 0.5, 1.0, 3296532592)]
