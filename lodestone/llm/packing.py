@@ -1,7 +1,7 @@
 """Packing of token ids into sequences: first-fit decreasing on a tournament tree of bin capacities.
 
 Tokens: the tokenizer drops white space and never joins across it, so a text is cut at blanks and
-each chunk is encoded once per worker, in a memo of bounded size. A document's ids are cut into
+each distinct chunk is encoded once per worker, as far as a memo of bounded size holds it. A document's ids are cut into
 pieces of one sequence's length and a rest, while it is tokenized, so that only lengths need to be
 packed: no ids cross the network.
 
@@ -12,14 +12,16 @@ binary tree whose inner nodes hold the most room below, so the first fit is one
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import os
+import re
 from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.byte_bpe import Memo
 from lodestone.llm.common import decode, pieces, save, text_of
 
 #: Closes every document.
@@ -27,19 +29,53 @@ END_ID = 2
 
 
 class WordBpe:
-    """Ids of a text by a ``tokenizers`` file, without special tokens; their strings are ordinary text."""
+    """Ids of texts by a ``tokenizers`` file, without special tokens; their strings are ordinary text."""
 
-    def __init__(self, path: str):
+    #: Letters whose lower case and normal form are the same by any library, then marks that stand apart.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+    def __init__(self, path: str, limit: int = 800_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(lambda chunk: array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes())
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.memo.__getitem__, chunks))
+        self.limit, self.cores, self.known = limit, {}, {"": b""}
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode new chunks at once: each distinct word in lower case, and each run of marks."""
+        if len(self.known) > self.limit:
+            self.known = {"": b""}
+        if len(self.cores) > self.limit:
+            self.cores = {}
+        split = {c: (m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(c)) else (c, "") for c in chunks - self.known.keys()}
+        words = list({word for word, marks in split.values() if marks or self.PLAIN.fullmatch(word)} - self.cores.keys())
+        for at in range(0, len(words), 100):
+            part = words[at : at + 100]
+            self.cores.update(zip(part, self._words(part), strict=True))
+        rest = list({x for parts in split.values() for x in parts if x} - self.cores.keys())
+        self.cores.update(zip(rest, self._each(rest), strict=True))
+        cores = self.cores
+        self.known.update((c, cores[core] + cores[marks] if marks else cores[core]) for c, (core, marks) in split.items() if core)
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters in one call: each ends with the first id that closes a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = [0, *(4 * np.nonzero(self.closes[ids])[0] + 4).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] if len(cuts) == len(words) + 1 else self._each(words)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self._learn(set().union(*cut))
+        known = self.known.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in cut]
 
 
 def tokenize(docs: DataFrame, path: str, *, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,8 +88,9 @@ def tokenize(docs: DataFrame, path: str, *, length: int = 4096, id_col: str = "d
         words, end, step = WordBpe(path), array("I", [END_ID]).tobytes(), 4 * length
         for batch in pieces(batches, "text"):
             out: list[tuple] = []
-            for doc, text, row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "row")), strict=True):
-                ids = words.encode(decode(text)) + end
+            encoded = words.encode([decode(t) for t in batch.column("text").to_pylist()])
+            for doc, ids, row in zip(batch.column("doc_id").to_pylist(), encoded, batch.column("row").to_pylist(), strict=True):
+                ids += end
                 out += [(doc, at // 4, ids[at : at + step], len(ids) // 4, row) for at in range(0, len(ids), step)]
             columns = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
