@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,17 +30,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``save`` made and that nothing needs any more."""
+    """Delete the files of a table that ``save`` returned and that nothing needs any more."""
     spark = df.sparkSession
-    base, jvm = scratch_dir(spark), spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "file:" in folder or folder.startswith(base):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(name: str = "text") -> Column:
@@ -57,7 +57,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if total and total + size > limit:
@@ -66,5 +66,3 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
             total += size
         yield batch.slice(start)
 
-
-import pyarrow.compute  # noqa: E402  pa.compute is a module of its own

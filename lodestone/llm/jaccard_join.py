@@ -3,9 +3,9 @@
 A document is the set of hashes of its runs of five words. Documents with equal sets are one class.
 For each run and level a set samples its own tokens: those whose hash for that run and level is
 below ``branching / size``. Sets that sampled the same token share a bucket, so similar sets meet
-often and others rarely; a bucket of more than ``limit`` sets is split again by the tokens sampled
+often and others rarely; a bucket of more than ``bucket`` sets is split again by the tokens sampled
 at the next level. The number of runs follows from the target recall. A bucket that can't be split
-further is compared in blocks.
+further is compared in blocks of that size.
 
 In a bucket, sets are compared by sketches of 64 bytes whose threshold lies four standard deviations
 below the wanted similarity; what passes is written as the edges of a spanning forest, so no bucket
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import Memo
-from lodestone.llm.common import pieces, save, text_of
+from lodestone.llm.common import drop, pieces, save, text_of
 from lodestone.llm.components import connected_components
 
 SKETCH = 64
@@ -154,8 +154,8 @@ def _keyed(id_col: str, text_col: str) -> list:
     return [F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("key"), text.alias("text")]
 
 
-def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999, branching: float = 1.6, levels: int = 3, limit: int = 256, block: int = 512, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, class_id, n_links, component_id, kept and the columns in ``carry`` of every row.
+def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999, branching: float = 1.6, levels: int = 3, block: int = 512, bucket: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, key (digest of the text), class_id, n_links, component_id and kept of every row.
 
     Links join rows whose sets have a Jaccard similarity of ``threshold`` or more; ``n_links`` counts
     the other rows linked directly, copies included. ``class_id`` is the least doc_id of the rows with an
@@ -167,7 +167,6 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
     """
     runs = runs_for(recall, threshold, branching, levels)
     sampler = Sampler(runs, levels, branching)
-    names = [f"carried_{i}" for i in range(len(carry))]
 
     def summarise(batches):
         hashes = Memo(xxhash.xxh64_intdigest)
@@ -180,13 +179,9 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
                 out["sketch"].append(sampler.sketch(tokens) if len(tokens) else None)
                 out["paths"].append(sampler.paths(tokens) if len(tokens) else None)
             kinds = {"print": pa.binary(), "size": pa.int64(), "sketch": pa.binary(), "paths": pa.list_(pa.list_(pa.list_(pa.int64())))}
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "key")), *(pa.array(out[c], t) for c, t in kinds.items()), *(batch.column(c) for c in names)], ["row", "doc_id", "key", *kinds, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "key")), *(pa.array(out[c], t) for c, t in kinds.items())], ["row", "doc_id", "key", *kinds])
 
-    carried = [F.col(c).alias(x) for c, x in zip(carry, names, strict=True)]
-    every = docs.select(*_keyed(id_col, text_col), *carried)
-    types = dict(every.dtypes)
-    schema = "row long, doc_id long, key string, print binary, size long, sketch binary, paths array<array<array<long>>>" + "".join(f", {x} {types[x]}" for x in names)
-    rows = save(every.mapInArrow(summarise, schema), "join-rows")
+    rows = save(docs.select(*_keyed(id_col, text_col)).mapInArrow(summarise, "row long, doc_id long, key string, print binary, size long, sketch binary, paths array<array<array<long>>>"), "join-rows")
     classes = save(
         rows.where("print is not null").groupBy("print").agg(
             F.min("row").alias("rep"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("key").alias("key"),
@@ -195,20 +190,21 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
         "join-classes",
     )
 
-    # split by sampled tokens, level by level; only buckets above the limit go on
+    # split by sampled tokens, level by level; only buckets above one block go on
     level = classes.select("rep", F.posexplode("paths").alias("run", "levels")).select("rep", "run", F.explode(F.col("levels")[0]).alias("token")).select("rep", "run", F.xxhash64("run", "token").alias("bucket"))
-    final = None
+    final, done_with = None, []
     for depth in range(levels):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         known = save(level.join(sizes, "bucket"), f"join-level-{depth}")
-        done = known if depth == levels - 1 else known.where(F.col("n") <= limit)
+        done_with.append(known)
+        done = known if depth == levels - 1 else known.where(F.col("n") <= bucket)
         final = done.select("bucket", "rep") if final is None else final.union(done.select("bucket", "rep"))
         if depth < levels - 1:
-            more = known.where(F.col("n") > limit).join(classes.select("rep", "paths"), "rep")
+            more = known.where(F.col("n") > bucket).join(classes.select("rep", "paths"), "rep")
             level = more.select("rep", "run", "bucket", F.explode(F.col("paths")[F.col("run")][depth + 1]).alias("token")).select("rep", "run", F.xxhash64("bucket", "token").alias("bucket")).distinct()
 
     # sketches in the buckets; small buckets share a task's call
-    met = _blocks(final, "bucket", 4 * block).join(classes.select("rep", "size", "sketch"), "rep")
+    met = _blocks(final, "bucket", bucket).join(classes.select("rep", "size", "sketch"), "rep")
     total = met.groupBy().agg(F.count("*")).first()[0]
     slots = max(1, total // 8192)
     met = met.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
@@ -287,18 +283,23 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
     facts = classes.select("print", "rep", "class_id", "copies").join(links, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = facts.groupBy("component").agg(F.min("class_id").alias("component_id"))
     facts = facts.join(least, "component").select("print", "component", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    placed = rows.select("row", "doc_id", "print").join(facts, "print", "left")
+    facts = save(facts, "join-facts")
+    placed = rows.select("row", "doc_id", "key", "print").join(facts, "print", "left")
     first = placed.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")).select("component", F.col("first.row").alias("first"))
-    done = placed.join(first, "component", "left").select(
-        "row", "doc_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    out = placed.join(first, "component", "left").select(
+        "row", "doc_id", "key", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"),
     )
-    if not carry:
-        return done
-    return done.join(rows.select("row", *names), "row").select(*done.columns, *(F.col(x).alias(c) for c, x in zip(carry, names, strict=True)))
+    out = save(out, "join-result")
+    for table in [*done_with, rows, classes, clusters, held, found, facts]:
+        drop(table)
+    return out
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each component of links, as ``join_documents`` marks it."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return join_documents(docs, carry=rest, **settings).where("kept").select(docs.columns)
+    """``docs`` with one row of each component of links, as ``join_documents`` marks it; rows with equal doc_id and text stay once."""
+    own = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("key", F.lit("null"))))
+    kept = join_documents(docs, **settings).where("kept").select(own.alias("own")).distinct()
+    rest = F.struct(*(F.col(c) for c in docs.columns))
+    rows = docs.select(rest.alias("rest"), F.col("doc_id"), F.md5(text_of()).alias("key")).select("rest", own.alias("own"))
+    return rows.join(kept, "own").groupBy("own").agg(F.first("rest").alias("rest")).select("rest.*")

@@ -45,7 +45,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_documents(_documents(spark, sf_dir)).drop("row")
+    return jaccard_join.join_documents(_documents(spark, sf_dir)).drop("row", "key")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_equals_brute_force(spark):
         copy[pick.randrange(150)] = word()
         rows.append((5000 + i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = join_documents(docs, limit=20, block=16).collect()
+    found = join_documents(docs, bucket=20, block=16).collect()
     agree(found, rows)
     kept = defaultdict(int)
     for r in found:
