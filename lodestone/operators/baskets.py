@@ -6,31 +6,43 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import checkpoint
+
 
 def baskets(rows: DataFrame, group: str, item: str, more_than: int = 0) -> DataFrame:
     """group, items: the distinct items of each group in order, of groups with more than ``more_than``."""
     return rows.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("items")).where(F.size("items") > more_than)
 
 
-def frequent_itemsets(rows: DataFrame, group: str, item: str, support: int, most: int = 3) -> DataFrame:
-    """size, items, freq of itemsets of up to ``most`` items in at least ``support`` groups (M2).
+def frequent_itemsets(rows: DataFrame, group: str, item: str, support: int, most: int | None = None) -> DataFrame:
+    """size, items, freq of itemsets in at least ``support`` groups, of up to ``most`` items if it is given (M2).
 
     Level by level: only items that are frequent on their own are joined, and each level extends the
     frequent sets of the one before, so infrequent pairs never meet a third item. Counts are summed
-    before the shuffle. ``items`` is a sorted array.
+    before the shuffle. Without ``most`` each level is written, and the first one without sets is the
+    last. ``items`` is a sorted array.
     """
     pairs = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
     single = pairs.groupBy("i").agg(F.count("*").alias("freq")).where(F.col("freq") >= support)
     pairs = pairs.join(single.select("i"), "i", "left_semi")
+    if most is None:
+        pairs = checkpoint(pairs)
     found = single.select(F.array("i").alias("items"), "freq")
     level = pairs.select("g", F.array("i").alias("items"))
-    result = found
-    for size in range(2, most + 1):
+    result, size = found, 1
+    while most is None or size < most:
+        size += 1
         wider = level.join(pairs, "g").where(F.col("i") > F.element_at("items", -1)).select("g", F.concat("items", F.array("i")).alias("items"))
         found = wider.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= support)
+        if most is None:
+            found = checkpoint(found)
+            if found.isEmpty():
+                break
         result = result.unionByName(found)
-        if size < most:
+        if size != most:
             level = wider.join(found.select("items"), "items", "left_semi")
+            if most is None:
+                level = checkpoint(level)
     return result.select(F.size("items").alias("size"), "items", "freq")
 
 

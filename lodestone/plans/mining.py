@@ -34,11 +34,11 @@ def baskets_min_size(spark, sf_dir):
 
 
 def frequent_itemsets_k123(spark, sf_dir):
-    return _listed(B.frequent_itemsets(_brands(spark, sf_dir), "l_orderkey", "p_brand", SUPPORT)).orderBy("size", "items")
+    return _listed(B.frequent_itemsets(_brands(spark, sf_dir), "l_orderkey", "p_brand", SUPPORT, 3)).orderBy("size", "items")
 
 
 def fpgrowth_itemsets(spark, sf_dir):
-    return _listed(B.fp_growth(_brands(spark, sf_dir), "l_orderkey", "p_brand", SUPPORT)).where("size <= 3")
+    return _listed(B.fp_growth(_brands(spark, sf_dir), "l_orderkey", "p_brand", SUPPORT))
 
 
 def pcy_bucket_profile(spark, sf_dir):

@@ -16,6 +16,7 @@ from lodestone.operators import recommend as P
 from lodestone.operators import relational as R
 from lodestone.operators import similarity as S
 from lodestone.operators import streams as M
+from lodestone.plans import mining
 
 
 def rows(df):
@@ -44,6 +45,21 @@ def test_itemsets(spark):
     assert got == {(0, 1): sum({0, 1} <= own for own in by.values()), (55,): 0}
 
 
+def test_itemsets_of_all_sizes(spark, tmp_path):
+    pick = random.Random(6)
+    held = {g: sorted(pick.sample(range(9), pick.randint(3, 8))) for g in range(150)}
+    want = Counter(c for own in held.values() for k in range(1, 10) for c in itertools.combinations(own, k))
+    want = {c: n for c, n in want.items() if n >= mining.SUPPORT // 4}
+    assert max(map(len, want)) > 3
+    df = spark.createDataFrame([(g, i) for g, own in held.items() for i in own], "g long, i long")
+    for made in (B.frequent_itemsets(df, "g", "i", mining.SUPPORT // 4), B.fp_growth(df, "g", "i", mining.SUPPORT // 4)):
+        assert {tuple(r["items"]): r.freq for r in made.collect()} == want
+    four = [(g, i) for g in range(mining.SUPPORT) for i in range(4)]
+    spark.createDataFrame(four, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"b{i}") for i in range(4)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert Counter(r["size"] for r in mining.fpgrowth_itemsets(spark, str(tmp_path)).collect()) == {1: 4, 2: 6, 3: 4, 4: 1}
+
+
 def test_jaccard_and_lsh(spark):
     pick = random.Random(2)
     sets = {g: set(pick.sample(range(40), pick.randint(1, 12))) for g in range(40)}
