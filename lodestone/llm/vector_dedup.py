@@ -6,9 +6,10 @@ by the nearest entry of a codebook. Centres and codebooks are fitted on a bounde
 class is indexed.
 
 A class probes each list whose cell it comes near to. A vector at distance r may lie beyond the
-plane between two cells only if the plane is within r; as noise of length r in d dimensions moves by
-about r / sqrt(d) along one direction, cells within ``z * r / sqrt(d)`` are probed (``z`` of at least
-sqrt(d) makes the probing complete for any noise). In a list, the tables of distances from the
+plane between two cells only if the plane is within r, so cells within r are probed, and no link is
+lost, whatever directions the noise has. ``z`` makes it probe less: noise of length r that is spread
+evenly over d dimensions moves by about r / sqrt(d) along one direction, and only cells within
+``z * r / sqrt(d)`` are probed. In a list, the tables of distances from the
 query's residual to all codebook entries give an asymmetric distance; with the length of the coding
 error, which is kept for each member, the triangle inequality bounds the true distance, so the
 filter loses no pair. What passes is compared by cosine in double precision.
@@ -80,7 +81,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         label = new
 
 
-def link_vectors(vectors: DataFrame, *, threshold: float = 0.98, z: float = 4.0, list_rows: int = 1024, most_lists: int = 1024, sample_rows: int = 16384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def link_vectors(vectors: DataFrame, *, threshold: float = 0.98, z: float | None = None, list_rows: int = 1024, most_lists: int = 1024, sample_rows: int = 16384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row; links only join rows of equal labels.
 
     Rows whose id, label or vector is null, whose vector is zero, or holds null or non-finite
@@ -106,7 +107,7 @@ def link_vectors(vectors: DataFrame, *, threshold: float = 0.98, z: float = 4.0,
     lists = max(1, min(most_lists, count // list_rows, len(points) // 8))
     model = spark.sparkContext.broadcast(Quantiser(points, lists))
     radius = math.sqrt(2 - 2 * threshold)
-    reach = radius * min(1.0, z / math.sqrt(size))
+    reach = radius * (1.0 if z is None else min(1.0, z / math.sqrt(size))) + 1e-6
 
     def assign(batches):
         q = model.value

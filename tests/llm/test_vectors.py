@@ -57,6 +57,18 @@ def test_few_probes_still_find_the_links(spark, rows):
     assert few >= 0.98 * sum(r.n_links for r in link_vectors(df, z=99, list_rows=100).collect())
 
 
+def test_all_links_where_few_of_many_dimensions_vary(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2400, 4))
+    near = base + rng.normal(0, 0.07, base.shape) * np.linalg.norm(base, axis=1)[:, None]
+    v = (np.concatenate([base, near]) @ rng.normal(size=(4, 64))).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in link_vectors(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int"), list_rows=50).collect()}
+    units = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    want = (units @ units.T >= 0.98).sum(1) - 1
+    assert sum(want) > 10000
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_search_recall_and_order(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     found = search(df, F.col("vec_id") % 10 == 0, part_rows=100, row_block=70, query_block=9).collect()
