@@ -297,9 +297,15 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each component of links, as ``join_documents`` marks it; rows with equal doc_id and text stay once."""
+    """``docs`` with one row of each component of links, as ``join_documents`` marks it; rows with equal doc_id and text stay once.
+
+    Rows whose text has no words have no set: they link with nothing and all stay as they are.
+    """
     own = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("key", F.lit("null"))))
     kept = join_documents(docs, **settings).where("kept").select(own.alias("own")).distinct()
+    wordless = ~F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
     rest = F.struct(*(F.col(c) for c in docs.columns))
-    rows = docs.select(rest.alias("rest"), F.col("doc_id"), F.md5(text_of()).alias("key")).select("rest", own.alias("own"))
-    return rows.join(kept, "own").groupBy("own").agg(F.first("rest").alias("rest")).select("rest.*")
+    rows = docs.select(rest.alias("rest"), F.col("doc_id"), F.md5(text_of()).alias("key"), wordless.alias("wordless"))
+    alone = rows.where("wordless").select("rest.*")
+    rows = rows.where(~F.col("wordless")).select("rest", own.alias("own"))
+    return rows.join(kept, "own").groupBy("own").agg(F.first("rest").alias("rest")).select("rest.*").unionByName(alone)

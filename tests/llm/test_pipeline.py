@@ -75,3 +75,12 @@ def test_odd_rows_and_empty(spark, tmp_path, odd, empty):
         for _, stage in C.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert docs.count() >= least
+
+
+def test_rows_without_words_all_stay(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten"
+    alone = [(None, None, "en", "a", 0), (None, None, "de", "b", 0), (3, None, "en", "a", 0), (3, None, "en", "b", 0), (4, "", None, "a", 0), (4, "", None, "b", 0), (5, " \n\t\x0b\f\r", "en", "a", 6), (5, " \n\t\x0b\f\r", "en", "a", 6)]
+    rest = [(6, "\u00a0", "en", "a", 1), (7, "\u2003", "en", "a", 1), (8, text, "en", "a", 1), (8, text, "en", "b", 1), (9, text, "en", "a", 1)]
+    got = C.near_duplicates_stage(spark, spark.createDataFrame(alone + rest, SCHEMA), str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in got if r.doc_id is None or r.doc_id < 6), key=repr) == sorted(alone, key=repr)
+    assert sorted(r.doc_id for r in got if r.doc_id and r.doc_id > 5) == [6, 7, 8]
