@@ -76,13 +76,18 @@ def metapath_samples(spark, sf_dir):
     return found.groupBy("start_node", "end_node", "path").agg(F.count("*").alias("n"))
 
 
+def _nodes(spark, sf_dir):
+    """Ends are drawn from 0 to the largest vec_id."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
 def _positives(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return vectors.select(F.col("vec_id").alias("start_node"), (F.col("vec_id") * 7 % 500).alias("end_node"), F.col("label").cast("string").alias("path"))
+    return vectors.select(F.col("vec_id").alias("start_node"), (F.col("vec_id") * 7 % _nodes(spark, sf_dir)).alias("end_node"), F.col("label").cast("string").alias("path"))
 
 
 def negative_samples(spark, sf_dir):
-    return G.negative_samples(_positives(spark, sf_dir), 500)
+    return G.negative_samples(_positives(spark, sf_dir), _nodes(spark, sf_dir))
 
 
 def metapath_score(spark, sf_dir):

@@ -16,7 +16,7 @@ from lodestone.operators import recommend as P
 from lodestone.operators import relational as R
 from lodestone.operators import similarity as S
 from lodestone.operators import streams as M
-from lodestone.plans import mining
+from lodestone.plans import graph, mining
 
 
 def rows(df):
@@ -140,6 +140,17 @@ def test_graph(spark):
     assert all((steps[a, b - 1], c) in {p for x in bridge for p in (x, x[::-1])} for (a, b), c in steps.items() if b)
 
 
+def test_ends_are_drawn_from_all_vectors(spark, tmp_path):
+    held = [(i, [0.5, -1.0], i % 10) for i in range(1200)]
+    spark.createDataFrame(held, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = graph.negative_samples(spark, str(tmp_path)).collect()
+    assert len(found) == 6 * 1200
+    want = sorted((i, i * 7 % 1200 if c == 0 else (i * 31 + i * 7 % 1200 * 17 + c * 7919) % 1200, c) for i in range(1200) for c in range(6))
+    assert sorted((r.start_node, r.end_node, r["copy"]) for r in found) == want
+    assert {r.end_node for r in found if r.label} == set(range(1200))
+    assert {(r.start_node, r.end_node) for r in graph.metapath_score(spark, str(tmp_path)).collect()} == {(i, i * 7 % 1200) for i in range(1200)}
+
+
 def test_streams_against_sequential_programs(spark):
     pick = random.Random(4)
     users = [pick.randrange(120) for _ in range(400)]
