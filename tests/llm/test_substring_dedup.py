@@ -2,7 +2,11 @@ import random
 import re
 from collections import Counter
 
-from lodestone.llm.substring_dedup import dedup_substrings
+import numpy as np
+import xxhash
+
+from lodestone.llm.byte_bpe import Memo
+from lodestone.llm.substring_dedup import ALONE, Chunk, dedup_substrings, hot_minimisers, span_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,3 +51,41 @@ def test_equals_brute_force(spark):
 def test_odd_rows_and_empty(odd, odd_rows, empty):
     same(dedup_substrings(odd).collect(), brute([r[:2] for r in odd_rows], 35))
     assert dedup_substrings(empty).count() == 0
+
+
+def test_a_common_line_in_changing_surroundings(spark):
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(pick.randint(2, 6)))
+    line, passage = [word() for _ in range(12)], [word() for _ in range(60)]
+    rows = []
+    for i in range(1200):
+        words = [word() for _ in range(pick.randint(40, 90))]
+        if i % 3 == 0:
+            words[20:20] = line
+        elif i % 9 == 1:
+            words[15:15] = passage
+        rows.append((i, " ".join(words)))
+    rows += [(2000 + i, rows[0][1]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    most = 40
+    hot = hot_minimisers(docs, 35, 5, most)
+    assert len(hot) > 2
+    same(dedup_substrings(docs, hot_strings=most, chunk_bytes=20000, bucket_bytes=30000).collect(), brute(rows, 35))
+
+    def largest(hot):
+        """The most distinct strings of a minimiser over all chunks; windows that travel alone meet only their equals."""
+        found = set()
+        for a in range(20):
+            chunk = Chunk([t.encode() for _, t in rows[a::20]], 35, 5, Memo(xxhash.xxh64_intdigest), hot)
+            strings = list(chunk.strings)
+            found |= {(key, strings[o]) for key, o in zip(chunk.keys.tolist(), chunk.ordinals.tolist(), strict=True) if key < int(ALONE)}
+        return max(Counter(key for key, _ in found).values())
+
+    assert largest(np.zeros(0, np.uint32)) > 150 and largest(hot) <= 2 * most
+
+
+def test_equal_spans_have_equal_hashes():
+    h = np.random.default_rng(3).integers(0, 2**63, 400, dtype=np.uint64)
+    h[300:350] = h[20:70]
+    a, b = span_hashes(h, np.array([20, 300, 21]), np.array([70, 350, 70])), span_hashes(h[20:70], np.array([0]), np.array([50]))
+    assert a[0] == a[1] == b[0] != a[2]
