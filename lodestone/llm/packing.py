@@ -1,7 +1,8 @@
 """Packing of token ids into sequences: first-fit decreasing on a tournament tree of bin capacities.
 
 Tokens: the tokenizer drops white space and never joins across it, so a text is cut at blanks and
-each distinct chunk is encoded once per worker, as far as a memo of bounded size holds it. A document's ids are cut into
+each distinct chunk is encoded once per task, as far as a memo of bounded bytes holds it. A task holds
+the ids of 4 MB of texts, or of one longer text. A document's ids are cut into
 pieces of one sequence's length and a rest, while it is tokenized, so that only lengths need to be
 packed: no ids cross the network.
 
@@ -29,36 +30,45 @@ END_ID = 2
 
 
 class WordBpe:
-    """Ids of texts by a ``tokenizers`` file, without special tokens; their strings are ordinary text."""
+    """Ids of texts by a ``tokenizers`` file, as the library gives them with add_special_tokens=False.
+
+    A special token's string in a text is its id. The memos hold ``limit`` bytes each at most.
+    """
 
     #: Letters whose lower case and normal form are the same by any library, then marks that stand apart.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, limit: int = 800_000):
+    #: Bytes of an entry of a memo besides its key and value.
+    ENTRY = 200
+
+    def __init__(self, path: str, limit: int = 96 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit, self.cores, self.known = limit, {}, {"": b""}
+        self.limit, self.cores, self.known, self.held = limit, {}, {"": b""}, [0, 0]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode new chunks at once: each distinct word in lower case, and each run of marks."""
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        if len(self.cores) > self.limit:
-            self.cores = {}
+        if self.held[0] > self.limit:
+            self.known, self.held[0] = {"": b""}, 0
+        if self.held[1] > self.limit:
+            self.cores, self.held[1] = {}, 0
         split = {c: (m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(c)) else (c, "") for c in chunks - self.known.keys()}
         words = list({word for word, marks in split.values() if marks or self.PLAIN.fullmatch(word)} - self.cores.keys())
         for at in range(0, len(words), 100):
             part = words[at : at + 100]
-            self.cores.update(zip(part, self._words(part), strict=True))
+            self._keep(1, self.cores, dict(zip(part, self._words(part), strict=True)))
         rest = list({x for parts in split.values() for x in parts if x} - self.cores.keys())
-        self.cores.update(zip(rest, self._each(rest), strict=True))
+        self._keep(1, self.cores, dict(zip(rest, self._each(rest), strict=True)))
         cores = self.cores
-        self.known.update((c, cores[core] + cores[marks] if marks else cores[core]) for c, (core, marks) in split.items() if core)
+        self._keep(0, self.known, {c: cores[core] + cores[marks] if marks else cores[core] for c, (core, marks) in split.items() if core})
+
+    def _keep(self, which: int, memo: dict[str, bytes], new: dict[str, bytes]) -> None:
+        memo.update(new)
+        self.held[which] += self.ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

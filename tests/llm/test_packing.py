@@ -13,19 +13,25 @@ PATH = P.path("word_bpe_49k.json")
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_chunks_equal_the_library():
     own, whole, pick = WordBpe(PATH), library(), random.Random(5)
     odd = "  \n\t\r\x0b\x0c\x1c\x85\xa0　abcZé你好🙂'sre''ll  0123.,!?́\u0000İßΣς²<|>"
-    texts = ["", "É'S don't ÀB.,! ß; İ. ÞØ!?", "<|endoftext|> a", *("".join(pick.choice(odd) for _ in range(pick.randint(1, 40))) for _ in range(3000))]
+    texts = ["", "É'S don't ÀB.,! ß; İ. ÞØ!?", "<|endoftext|> a", "x<|startoftext|>Y.<|endoftext|><|ENDOFTEXT|>", *("".join(pick.choice(odd) for _ in range(pick.randint(1, 40))) for _ in range(3000))]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert list(memoryview(ids).cast("I")) == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_memos_stay_within_their_bytes():
+    own, whole, pick = WordBpe(PATH, limit=20_000), library(), random.Random(6)
+    for _ in range(30):
+        text = " ".join("".join(pick.choice("abcdé1.") for _ in range(pick.randint(1, 9))) for _ in range(60))
+        assert list(memoryview(own.encode([text])[0]).cast("I")) == whole.encode(text, add_special_tokens=False).ids
+        assert max(own.held) < 20_000 + 60 * 300
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_first_fit_decreasing_equals_the_plain_search(lengths):
