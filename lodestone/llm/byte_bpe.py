@@ -8,7 +8,8 @@ fits, the last token gives way to the next shorter one at its place; places from
 cannot be reached are marked and not entered again, so each place is expanded once. A sequence
 whose neighbours are all compatible is the one that the merges by rank produce.
 
-Words repeat, so each word is encoded once per worker, in a memo of bounded size.
+Words repeat, so each word is encoded once per task, in a memo of bounded bytes. A task holds the ids
+of 4 MB of texts, or of one longer text.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from sys import getsizeof
 
 import ahocorasick
 import pyarrow as pa
@@ -34,20 +36,23 @@ COARSE = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ʯ]+(?=[ \n.,;:!?])| ?{OTHER}+|{SPA
 
 
 class Memo(dict):
-    """Results by word, of at most two generations of ``limit`` entries."""
+    """Results by word, in two generations of about ``limit`` bytes each; words of over 64 kB aren't kept."""
 
-    def __init__(self, make, limit: int = 200_000):
+    def __init__(self, make, limit: int = 32 << 20):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.held = make, limit, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(key) > 1 << 16:
+            return self.make(key)
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
         self[key] = found
+        self.held += 100 + getsizeof(key) + getsizeof(found)
         return found
 
 
@@ -92,7 +97,7 @@ class ByteBpe:
         key = (left + 1) << 32 | right
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             if left < 0:
                 found = self.merge(self.table[right]) == [right]

@@ -48,7 +48,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, 100_000)
+    return Memo(xxhash.xxh64_intdigest, 16 << 20)
 
 
 def split_words(texts: list[bytes | None], hashes: Memo) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
