@@ -24,13 +24,17 @@ from lodestone.llm.common import decode, pieces, save, text_of
 
 #: In the order of the report.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: What may stand before the at-sign of an email, and what follows it.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: Matches only begin where a run of digits does, as no other place in it can do better.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 NUMBER = re.compile(r"\+?\(?[0-9][0-9().\x20-]*[0-9]")
-AT = re.compile(r"[^\s@]{1,64}\s?(?:@|\(at\)|\[at\])\s?[^\s@]{1,255}")
+AFTER = re.compile(r"\s?[^\s@]{1,255}")
+MARK = re.compile(r"@|\(at\)|\[at\]")
 TRIM = ".,;:!?\"'()[]{}<>"
 
 
@@ -44,11 +48,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost emails that don't overlap, from each at-sign outward, so in linear time."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        before = text[last:at]
+        start = last + len(before.rstrip(LOCAL))
+        last = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            last = m.end()
+        at = text.find("@", last)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) by kind, then start: leftmost matches that don't overlap, less those that fail their test."""
-    found = []
-    if "@" in text:
-        found += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    """(kind, start, end) by kind, then start: leftmost matches that don't overlap, less those that fail their test.
+
+    Each kind takes time linear in the text.
+    """
+    found = [(0, *span) for span in emails(text)]
     if "." in text:
         found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -60,11 +78,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What stands around an at-sign of any spelling: up to 64 characters before and 255 after it, one blank apart at most."""
+    for m in MARK.finditer(text):
+        before = text[max(0, m.start() - 65) : m.start()]
+        blank = before[-1:].isspace()
+        before = (before[:-1] if blank else before).replace("@", " ")
+        left = before.split()[-1][-64:] if before and not before[-1].isspace() else ""
+        right = AFTER.match(text, m.end())
+        if left and right:
+            yield m.start() - blank - len(left), right.end()
+
+
 def candidate_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Strings with a digit or an at-sign of any spelling that touch no seed."""
-    found = []
-    if "@" in text or "(at)" in text or "[at]" in text:
-        found += [m.span() for m in AT.finditer(text)]
+    """Strings with a digit or an at-sign of any spelling that touch no seed, of 5 to 80 characters."""
+    found = list(addresses(text))
     last = 0
     for m in DIGITS.finditer(text):
         if m.start() < last:
@@ -78,13 +106,26 @@ def candidate_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[
             end = max(end, wide.end())
         last = end
         found.append((start, end))
-    out, busy = [], sorted((a, b) for _, a, b in taken)
+    busy: list[list[int]] = []  # the seeds, merged where they overlap
+    for start, end in sorted((a, b) for _, a, b in taken):
+        if busy and start <= busy[-1][1]:
+            busy[-1][1] = max(busy[-1][1], end)
+        else:
+            busy.append([start, end])
+    out, i = [], 0
     for start, end in sorted(found):
+        if end - start > 200:
+            continue  # far too long even without the marks around it
         while start < end and text[start] in TRIM:
             start += 1
         while end > start and text[end - 1] in TRIM:
             end -= 1
-        if 5 <= end - start <= 80 and not any(a < end and start < b for a, b in busy) and not (out and start < out[-1][1]):
+        while i < len(busy) and busy[i][1] <= start - 200:
+            i += 1
+        near = i
+        while near < len(busy) and busy[near][1] <= start:
+            near += 1
+        if 5 <= end - start <= 80 and not (near < len(busy) and busy[near][0] < end) and not (out and start < out[-1][1]):
             out.append((start, end))
     return out
 
@@ -113,7 +154,7 @@ def left_patterns(text: str, start: int) -> list[str]:
 
 
 def find(docs: DataFrame, *, rounds: int = 3, confident: float = 0.8, z: float = 1.64, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base and found (arrays of kind, start, end) and the columns in ``carry`` of every row.
+    """doc_id, base and found (arrays of kind, start, end) and the columns in ``carry``, as carried_0 and on, of every row.
 
     Offsets are code points of the whole text, ends exclusive; kinds are places in KINDS. ``base`` are
     the matches of the fixed patterns and ``found`` the spans that contexts add, which touch no base
@@ -163,7 +204,7 @@ def find(docs: DataFrame, *, rounds: int = 3, confident: float = 0.8, z: float =
     best = chosen.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     found = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))  # of one text
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.join(found, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"), *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
+    return rows.join(found, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"), *names)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -177,13 +218,18 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, mark: str = "[{}]") -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind's mark; where spans overlap, by the first one's."""
+    """``docs`` with every span of its texts replaced by its kind's mark; where spans overlap, by the first one's.
+
+    All rows and columns stay, whatever their names are. A null text stays null and an empty one empty;
+    repeated rows come out repeated, an empty table empty. A task holds 4 MB of texts, or one longer text.
+    """
     kept = [c for c in docs.columns if c != "doc_id"]
+    names, at_text = [f"carried_{i}" for i in range(len(kept))], kept.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, names[at_text]):
             out = []
-            for text, base, found in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "found")), strict=True):
+            for text, base, found in zip(*(batch.column(c).to_pylist() for c in (names[at_text], "base", "found")), strict=True):
                 spans = sorted(((s["start"], -s["end"], s["kind"]) for s in [*base, *found]))
                 parts, at = [], 0
                 for start, end, kind in spans:
@@ -193,8 +239,10 @@ def redact(docs: DataFrame, *, mark: str = "[{}]") -> DataFrame:
                     elif -end > at:
                         at = -end
                 out.append(None if text is None else "".join([*parts, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in kept)], ["doc_id", *kept])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out, pa.string()) if i == at_text else batch.column(n) for i, n in enumerate(names))], ["doc_id", *names])
 
     kinds = dict(docs.dtypes)
-    schema = "doc_id long" + "".join(f", `{c}` {kinds[c]}" for c in kept)
-    return find(docs, carry=tuple(kept)).mapInArrow(run, schema).select(*docs.columns)
+    schema = "doc_id long" + "".join(f", {n} {kinds[c]}" for n, c in zip(names, kept, strict=True))
+    masked = find(docs, carry=tuple(kept)).mapInArrow(run, schema)
+    place = dict(zip(kept, names, strict=True)) | {"doc_id": "doc_id"}
+    return masked.select(*(F.col(place[c]).alias(c) for c in docs.columns))
