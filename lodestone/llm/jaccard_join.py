@@ -4,8 +4,9 @@ A document is the set of hashes of its runs of five words. Documents with equal
 For each run and level a set samples its own tokens: those whose hash for that run and level is
 below ``branching / size``. Sets that sampled the same token share a bucket, so similar sets meet
 often and others rarely; a bucket of more than ``bucket`` sets is split again by the tokens sampled
-at the next level. The number of runs follows from the target recall. A bucket that can't be split
-further is compared in blocks of that size.
+at the next level. The number of levels grows with the logarithm of the rows, as each one leaves a
+bucket a small part of its sets, unless they are near copies, which no token tells apart: those are
+compared in blocks. The number of runs follows from the levels and the target recall.
 
 In a bucket, sets are compared by sketches of 64 bytes whose threshold lies four standard deviations
 below the wanted similarity; what passes is written as the edges of a spanning forest, so no bucket
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import Memo
@@ -117,8 +118,9 @@ def bucket_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of all intersections, as products of incidence matrices over some tokens at a time."""
-    a, b = np.concatenate(left), np.concatenate(right)
-    shared = np.intersect1d(a, b)
+    a = np.concatenate(left)
+    b = a if right is left else np.concatenate(right)
+    shared = np.unique(a) if right is left else np.intersect1d(a, b)
     row_a, row_b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
     found = np.zeros((len(left), len(right)), np.float32)
 
@@ -141,9 +143,18 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return found
 
 
-def _blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Each row once for each pair of blocks of its key that it belongs to: i, j with i <= j, and its own block."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+def levels_for(rows: int, bucket: int) -> int:
+    """Levels after which even a token that all rows hold has left buckets of ``bucket`` sets, if each level divides by 64."""
+    return max(3, 1 + math.ceil(math.log(max(1.0, rows / bucket), 64)))
+
+
+def _blocks(rows: DataFrame, key: str, block: int, weight: Column | None = None, most: int = 1) -> DataFrame:
+    """Each row once for each pair of blocks of its key that it belongs to: i, j with i <= j, and its own block.
+
+    A block has about ``block`` rows, and ``most`` of ``weight`` if that is given.
+    """
+    heavy = F.lit(0) if weight is None else F.ceil(F.sum(weight) / most)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), heavy.alias("heavy")).where(F.col("n") > 1).withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), "heavy").cast("int"))
     dealt = rows.join(sizes.select(key, "blocks"), key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
@@ -154,7 +165,7 @@ def _keyed(id_col: str, text_col: str) -> list:
     return [F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("key"), text.alias("text")]
 
 
-def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999, branching: float = 1.6, levels: int = 3, block: int = 512, bucket: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999, branching: float = 1.6, levels: int | None = None, block: int = 512, bucket: int = 2048, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, key (digest of the text), class_id, n_links, component_id and kept of every row.
 
     Links join rows whose sets have a Jaccard similarity of ``threshold`` or more; ``n_links`` counts
@@ -163,8 +174,11 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
     one with that id, the first of repeated rows. Words are runs of characters other than space and
     \\t\\n\\v\\f\\r, unchanged. A text of fewer than ``n`` words is one run; null texts and texts without
     words have no set, link with nothing and are kept. Null ids take part and come last in a component.
-    An empty table gives an empty table. Other columns are not read. ``row`` numbers the rows.
+    An empty table gives an empty table. Other columns are not read. ``row`` numbers the rows. A task
+    holds one text and its set, the sketches of two blocks of a bucket, or the sets of two blocks of a
+    cluster: ``block`` sets of about ``block_bytes`` in all each, or one larger set.
     """
+    levels = levels or levels_for(docs.count(), bucket)
     runs = runs_for(recall, threshold, branching, levels)
     sampler = Sampler(runs, levels, branching)
 
@@ -245,7 +259,7 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
 
     held = save(held.mapInArrow(sets, "cluster long, rep long, copies long, tokens binary"), "join-sets")
     slots = max(1, (held.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // (8 << 20))
-    cells = _blocks(held, "cluster", block).withColumn("slot", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(slots))).otherwise(F.xxhash64("cluster", "i", "j")))
+    cells = _blocks(held, "cluster", block, F.octet_length("tokens"), block_bytes).withColumn("slot", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(slots))).otherwise(F.xxhash64("cluster", "i", "j")))
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
@@ -255,14 +269,15 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
         tokens = group.column("tokens")
         out: list[tuple[int, int | None, int]] = []
         for low, high in zip([0, *edges], [*edges, len(cell)], strict=True):
-            mine = [np.frombuffer(t, np.uint64) for t in tokens[low:high].to_pylist()]
+            mine = [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens[int(low) : int(high)]]
             size = np.array([len(t) for t in mine], np.float64)
             i, j = cell[low, 1], cell[low, 2]
             left = np.nonzero(own[low:high] == i)[0]
             right = np.nonzero(own[low:high] == j)[0]
             if not len(left) or not len(right):
                 continue
-            common = overlaps([mine[x] for x in left], [mine[x] for x in right]).astype(np.float64)
+            ours = [mine[x] for x in left]
+            common = overlaps(ours, ours if i == j else [mine[x] for x in right]).astype(np.float64)
             link = common >= threshold * (size[left][:, None] + size[right][None] - common) - 1e-9
             if i == j:
                 np.fill_diagonal(link, False)
@@ -299,7 +314,8 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each component of links, as ``join_documents`` marks it; rows with equal doc_id and text stay once.
 
-    Rows whose text has no words have no set: they link with nothing and all stay as they are.
+    Of rows with equal doc_id and text the first in the order of all their columns stays. Rows whose
+    text has no words have no set: they link with nothing and all stay as they are.
     """
     own = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("key", F.lit("null"))))
     kept = join_documents(docs, **settings).where("kept").select(own.alias("own")).distinct()
@@ -308,4 +324,4 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     rows = docs.select(rest.alias("rest"), F.col("doc_id"), F.md5(text_of()).alias("key"), wordless.alias("wordless"))
     alone = rows.where("wordless").select("rest.*")
     rows = rows.where(~F.col("wordless")).select("rest", own.alias("own"))
-    return rows.join(kept, "own").groupBy("own").agg(F.first("rest").alias("rest")).select("rest.*").unionByName(alone)
+    return rows.join(kept, "own").groupBy("own").agg(F.min_by("rest", F.to_json("rest")).alias("rest")).select("rest.*").unionByName(alone)

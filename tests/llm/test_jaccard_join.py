@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from lodestone.llm.jaccard_join import join_documents, runs_for
+from lodestone.llm.jaccard_join import join_documents, keep_one, levels_for, runs_for
 
 
 def sets(rows, n=5):
@@ -74,5 +74,28 @@ def test_odd_rows_and_empty(odd, odd_rows, empty):
     assert join_documents(empty).count() == 0
 
 
+def test_of_equal_rows_with_other_columns_the_least_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "fr"), (1, text, "de"), (1, text, "en"), (2, text, "aa"), (3, "other words stand here in this row", "x")]
+    for order in (rows, rows[::-1]):
+        assert sorted(tuple(r) for r in keep_one(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)).collect()) == [rows[1], rows[4]]
+
+
+def test_levels_grow_with_the_rows():
+    assert [levels_for(n, 2048) for n in (0, 256_000, 10**8, 10**11)] == [3, 3, 4, 6]
+
+
+def test_blocks_bounded_by_bytes_give_the_same_links(spark):
+    pick = random.Random(16)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(pick.randint(0, 8)):
+            copy[pick.randrange(400)] = f"x{pick.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    agree(join_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=20_000).collect(), rows)
+
+
 def test_runs_follow_the_recall():
     assert runs_for(0.5, 0.8, 1.6, 3) < runs_for(0.999, 0.8, 1.6, 3) < runs_for(0.999, 0.5, 1.6, 3)
