@@ -3,7 +3,8 @@
 Equal vectors of a label are one class, so copies cost nothing. Classes are put into the inverted
 list of their nearest coarse centre. What is left after the centre is cut into subspaces, each coded
 by the nearest entry of a codebook. Centres and codebooks are fitted on a bounded sample; every
-class is indexed.
+class is indexed. The lists grow in number as the root of the classes, and so in size: a class
+probes a share of all lists, so more of them would mean more copies of each query.
 
 A class probes each list whose cell it comes near to. A vector at distance r may lie beyond the
 plane between two cells only if the plane is within r, so cells within r are probed, and no link is
@@ -22,15 +23,17 @@ so no group of near copies is ever written out in pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import save
+from lodestone.llm.common import drop, save
 from lodestone.llm.components import connected_components
-from lodestone.llm.vectors import k_means, matrix, sample, squared_distances, usable, usual_size
+from lodestone.llm.vectors import k_means, length_of, matrix, nearest, sample, squared_distances, usable
 
 
 class Quantiser:
@@ -39,17 +42,24 @@ class Quantiser:
     def __init__(self, points: np.ndarray, lists: int, subspaces: int = 8, entries: int = 256):
         size = points.shape[1]
         self.centres = k_means(points, lists)
-        rest = points - self.centres[squared_distances(points, self.centres).argmin(1)]
+        rest = points - self.centres[nearest(points, self.centres)[0]]
         edges = np.linspace(0, size, min(subspaces, size) + 1).astype(int)
         self.cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         self.books = [k_means(rest[:, c], entries) for c in self.cuts]
-        gaps = np.sqrt(squared_distances(self.centres, self.centres))
-        np.fill_diagonal(gaps, 1)
-        self.gaps = np.maximum(gaps, 1e-12)
 
-    def scores(self, units: np.ndarray) -> np.ndarray:
-        """Larger for nearer centres: differences over the gap are distances to the plane between."""
-        return units @ self.centres.T - (self.centres**2).sum(1) / 2
+    def probes(self, units: np.ndarray, reach: float) -> Iterator[tuple[int, list[int]]]:
+        """The own list of each vector, and all lists whose cell may hold something within ``reach`` of it."""
+        half = (self.centres**2).sum(1) / 2
+        step = max(1, (1 << 21) // len(self.centres))
+        for at in range(0, len(units), step):
+            scores = units[at : at + step] @ self.centres.T - half  # larger for nearer centres
+            own = scores.argmax(1)
+            rows = np.arange(len(own))
+            # a difference of scores over the distance of the centres is the distance to the plane between
+            gaps = np.maximum(np.sqrt(squared_distances(self.centres[own], self.centres)), 1e-12)
+            away = (scores[rows, own][:, None] - scores) / gaps
+            away[rows, own] = 0
+            yield from ((int(o), np.nonzero(x <= reach)[0].tolist()) for o, x in zip(own, away, strict=True))
 
     def codes(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the length of what they leave."""
@@ -81,75 +91,80 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         label = new
 
 
-def link_vectors(vectors: DataFrame, *, threshold: float = 0.98, z: float | None = None, list_rows: int = 1024, most_lists: int = 1024, sample_rows: int = 16384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row; links only join rows of equal labels.
+def link_vectors(vectors: DataFrame, *, threshold: float = 0.98, z: float | None = None, lists: int | None = None, least: int = 64, lengths: int = 8, sample_rows: int = 1 << 17, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row; links only join rows of equal labels and lengths.
 
     Rows whose id, label or vector is null, whose vector is zero, or holds null or non-finite
-    components, or has an unusual number of components, link with nothing: n_links 0, component_id
-    their own id, kept true (null ids: null, false). Rows that are repeated are linked with each other.
-    An empty table gives an empty table. Other columns are not read.
+    components, link with nothing: n_links 0, component_id their own id, kept true (null ids: null,
+    false). Rows that are repeated are linked with each other. An empty table gives an empty table.
+    Other columns are not read.
+
+    Each of the ``lengths`` most frequent numbers of components that has ``least`` classes gets an index:
+    ``lists``, or else a fifth of the root of its classes and at least 4, fitted on 16,384 classes or
+    eight for each list, ``sample_rows`` at most. Vectors of other lengths are one list for each label
+    and length, compared in the same blocks.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
-    size = usual_size(rows.where(usable("v")), "v")
-    sound = F.coalesce(usable("v") & (F.size("v") == size) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
+    sound = F.coalesce(usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = save(rows.withColumn("sound", sound), "vectors")
     alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not size:
-        return alone
     good = rows.where("sound").select("vec_id", "v", "label")
-    classes = save(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    count = classes.count()
-    if not count:
-        return alone
-    points = sample(classes, "rep", "v", sample_rows, size)
-    points /= np.linalg.norm(points, axis=1)[:, None]
-    lists = max(1, min(most_lists, count // list_rows, len(points) // 8))
-    model = spark.sparkContext.broadcast(Quantiser(points, lists))
+    classes = save(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("d", length_of("v")), "vector-classes")
+    models: dict[int, Quantiser] = {}
+    for d, count in classes.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "d").limit(lengths).collect():
+        wanted = lists or max(4, round(math.sqrt(count) / 5))
+        points = sample(classes.where(F.col("d") == d), "rep", "v", min(sample_rows, max(1 << 14, 8 * wanted)))
+        points /= np.linalg.norm(points, axis=1)[:, None]
+        models[d] = Quantiser(points, min(wanted, max(1, len(points) // 8)))
+    model = spark.sparkContext.broadcast(models)  # ``lengths`` of them, of sample_rows / 8 centres at most
     radius = math.sqrt(2 - 2 * threshold)
-    reach = radius * (1.0 if z is None else min(1.0, z / math.sqrt(size))) + 1e-6
 
     def assign(batches):
-        q = model.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = matrix(batch.column("v"), size)
-            scores = q.scores(v / np.linalg.norm(v, axis=1)[:, None])
-            own = scores.argmax(1)
-            away = (scores[np.arange(len(v)), own][:, None] - scores) / q.gaps[own]
-            away[np.arange(len(v)), own] = 0
-            probes = [np.nonzero(x <= reach)[0].tolist() for x in away]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "rep", "copies", "v")), pa.array(own, pa.int32()), pa.array(probes, pa.list_(pa.int32()))], ["label", "rep", "copies", "v", "list", "probes"])
-
+            for d in sorted(set(batch.column("d").to_pylist())):
+                part = batch.filter(pa.compute.equal(batch.column("d"), d))
+                found = [(0, [0])] * part.num_rows
+                if d in model.value:
+                    v = matrix(part.column("v"))
+                    reach = radius * (1.0 if z is None else min(1.0, z / math.sqrt(d))) + 1e-6
+                    found = list(model.value[d].probes(v / np.linalg.norm(v, axis=1)[:, None], reach))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([o for o, _ in found], pa.int32()), pa.array([p for _, p in found], pa.list_(pa.int32()))], [*names, "list", "probes"])
+
+    names = ["label", "d", "rep", "copies", "v"]
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    indexed = save(classes.select("label", "rep", "copies", "v").mapInArrow(assign, f"label {kinds['label']}, rep long, copies long, v {kinds['v']}, list int, probes array<int>"), "vector-index")
-
-    members = indexed.select("label", "list", "rep", "copies", "v", F.lit(False).alias("asks"))
-    queries = indexed.select("label", F.explode("probes").alias("list"), "rep", "copies", "v", F.lit(True).alias("asks"))
-    held = members.groupBy("label", "list").agg(F.count("*").alias("n")).select("label", "list", F.ceil(F.col("n") / block).cast("int").alias("m_blocks"))
-    asked = queries.groupBy("label", "list").agg(F.count("*").alias("n")).select("label", "list", F.ceil(F.col("n") / block).cast("int").alias("q_blocks"))
-    grid = held.join(asked, ["label", "list"])
+    indexed = save(classes.select(names).mapInArrow(assign, ", ".join(f"{c} {kinds[c]}" for c in names) + ", list int, probes array<int>"), "vector-index")
+
+    cell = ["label", "d", "list"]
+    members = indexed.select("label", "d", "list", "rep", "copies", "v", F.lit(False).alias("asks"))
+    queries = indexed.select("label", "d", F.explode("probes").alias("list"), "rep", "copies", "v", F.lit(True).alias("asks"))
+    held = members.groupBy(cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / block).cast("int").alias("m_blocks"))
+    asked = queries.groupBy(cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / block).cast("int").alias("q_blocks"))
+    grid = held.join(asked, cell)
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["label", "list", "m", "q", "rep", "copies", "v", "asks"]
-    left = members.join(grid, ["label", "list"]).withColumn("m", mine("m_blocks")).withColumn("q", every("q_blocks")).select(columns)
-    right = queries.join(grid, ["label", "list"]).withColumn("q", mine("q_blocks")).withColumn("m", every("m_blocks")).select(columns)
+    columns = [*cell, "m", "q", "rep", "copies", "v", "asks"]
+    left = members.join(grid, cell).withColumn("m", mine("m_blocks")).withColumn("q", every("q_blocks")).select(columns)
+    right = queries.join(grid, cell).withColumn("q", mine("q_blocks")).withColumn("m", every("m_blocks")).select(columns)
 
     def compare(group: pa.Table) -> pa.Table:
-        q = model.value
+        q = model.value.get(group.column("d")[0].as_py())
         asks = group.column("asks").to_numpy()
-        v = matrix(group.column("v"), size)
+        v = matrix(group.column("v"))
         units = v / np.linalg.norm(v, axis=1)[:, None]
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         a, b = np.nonzero(asks)[0], np.nonzero(~asks)[0]
         out: list[tuple[int, int | None, int]] = []
         if len(a) and len(b):
-            centre = q.centres[group.column("list")[0].as_py()]
-            codes, error = q.codes(units[b] - centre)
+            if q is not None:
+                centre = q.centres[group.column("list")[0].as_py()]
+                codes, error = q.codes(units[b] - centre)
             for at in range(0, len(a), 256):
                 part = a[at : at + 256]
-                i, j = q.near(units[part] - centre, codes, error, radius)
+                if q is None:
+                    i, j = np.nonzero(units[part] @ units[b].T >= threshold - 1e-6)
+                else:
+                    i, j = q.near(units[part] - centre, codes, error, radius)
                 i, j = part[i], b[j]
                 other = rep[i] != rep[j]
                 i, j = i[other], j[other]
@@ -163,7 +178,8 @@ def link_vectors(vectors: DataFrame, *, threshold: float = 0.98, z: float | None
         a_, b_, n_ = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64()), "n": pa.array(n_, pa.int64())})
 
-    found = save(left.unionByName(right).groupBy("label", "list", "m", "q").applyInArrow(compare, "a long, b long, n long"), "vector-links")
+    found = save(left.unionByName(right).groupBy(*cell, "m", "q").applyInArrow(compare, "a long, b long, n long"), "vector-links")
+    drop(indexed)
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("b is not null").select("a", "b"), "a", "b").withColumnRenamed("node", "rep")
     facts = classes.join(links, "rep", "left").join(parts, "rep", "left").select(
