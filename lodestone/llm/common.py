@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset: in local mode one of our own, on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,9 +36,28 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
+    if (made := _made.get()) is not None:
+        made.append(found)
     return found
 
 
+#: Tables that ``save`` wrote inside ``tidy``.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tidy(keep: list[DataFrame]) -> Iterator[None]:
+    """Delete the tables that are saved inside, but for those in ``keep`` at the end."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for table in _made.get():
+            if not any(table is k for k in keep):
+                drop(table)
+        _made.reset(token)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that ``save`` returned and that nothing needs any more."""
     spark = df.sparkSession
@@ -65,4 +88,3 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
                 start, total = i, 0
             total += size
         yield batch.slice(start)
-

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.boosting import Boosted, Isotonic, Logistic, sigmoid
-from lodestone.llm.common import decode, pieces, save, text_of
+from lodestone.llm.common import decode, drop, pieces, save, text_of
 
 SIGNS = np.array([ord(c) for c in "*$%&#!|<>{}[]=_~^\\/@+"], np.int64)
 SOURCES, LANGS, SIZES = 64, 16, 12
@@ -130,14 +130,16 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labelle
     wanted = chosen.unionByName(others.withColumn("label", F.lit(None).cast("int")))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             text, meta = _vectors(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(text, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "label", "text", "meta"])
 
-    rows = _measures(docs).join(F.broadcast(save(wanted, "quality-sample")), "doc_id")  # labelled_rows + pool_rows at most
+    wanted = save(wanted, "quality-sample")
+    rows = _measures(docs).join(F.broadcast(wanted), "doc_id")  # labelled_rows + pool_rows at most
     found = rows.select("doc_id", "label", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, label int, text array<double>, meta array<int>")
-    found = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"), F.min("meta").alias("meta")).orderBy("doc_id")
+    found = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.struct("text", "meta")).alias("one")).select("doc_id", "label", "one.text", "one.meta").orderBy("doc_id")  # of a repeated doc_id one row
     table = found.withColumn("apart", F.pmod(F.xxhash64(F.lit(43), "doc_id"), F.lit(4)) == 0).toArrow()
+    drop(wanted)
     text = np.array(table.column("text").to_pylist()).reshape(-1, TEXT_SIZE)
     meta = _wide(table.column("meta").to_pylist())
     y = np.array([np.nan if v is None else v for v in table.column("label").to_pylist()], dtype=float)

@@ -18,11 +18,11 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm.common import save
+from lodestone.llm.common import drop, save
 
 #: Bits of a dimension's value, and of the hash that follows it.
 VALUE_BITS, TIE_BITS = 20, 32
@@ -45,6 +45,13 @@ def _points(groups: DataFrame) -> DataFrame:
     return groups.select(*KEY, "bytes", *((v * F.lit(2**TIE_BITS) + tie).alias(f"at_{k}") for k, v in values.items()))
 
 
+def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few rows of whole numbers as a table, without Python: keys are longs, the others ints."""
+    kinds = ["BIGINT" if n in KEY else "INT" for n in names]
+    values = ", ".join("(" + ", ".join(f"CAST({v} AS {k})" for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def _quantiles(points: DataFrame, node: Column, cuts: dict[int, tuple[str, int, int, float]], bins: int, slack: float) -> dict[int, int]:
     """For each node (dimension, least, most, bytes wanted at or below) the coordinate to cut after."""
     found: dict[int, int] = {}
@@ -164,7 +171,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, heavy: float = 0.02, b
     part_of = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     weights = {(*(r[k] for k in KEY), 0): r["bytes"] for r in large if r["bytes"] <= target}
     if cut := [(*k, p) for k, p in parts.items() if p > 1]:
-        many = spark.createDataFrame(cut, "text_hash long, text_crc32 long, size long, parts int")
+        many = _table(spark, cut, [*KEY, "parts"])
         for r in rows.join(F.broadcast(many), KEY).groupBy(*KEY, part_of.alias("part")).agg(F.sum("size").alias("bytes")).collect():
             weights[(*(r[k] for k in KEY), r["part"])] = r["bytes"]
 
@@ -180,14 +187,18 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, heavy: float = 0.02, b
 
     light = points.where(F.col("bytes") < heavy * target)
     shard = _grow(light, capacity, bins, slack=target * 1e-4)
-    placed_light = rows.join(light.select(*KEY, shard.cast("int").alias("shard")), KEY)
+    seats = _table(spark, dealt, [*KEY, "part", "parts", "shard"]) if dealt else None
+    owners = seats.select(*KEY, "parts").distinct() if dealt else None
+    # heavy groups go before the shuffle: shards / heavy keys at most
+    others = rows.join(F.broadcast(owners), KEY, "left_anti") if dealt else rows
+    placed_light = others.join(light.select(*KEY, shard.cast("int").alias("shard")), KEY)
     placed = placed_light.select("doc_id", "size", "text_crc32", "shard", "row")
     if dealt:
-        seats = spark.createDataFrame(dealt, "text_hash long, text_crc32 long, size long, part int, parts int, shard int")
-        owners = seats.select(*KEY, "parts").distinct()
         apart = rows.join(F.broadcast(owners), KEY).withColumn("part", part_of).join(F.broadcast(seats.drop("parts")), [*KEY, "part"])
         placed = placed.unionByName(apart.select("doc_id", "size", "text_crc32", "shard", "row"))
     placed = save(placed.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int")), "shard-placed")
+    drop(rows)
+    drop(points)
 
     before = (
         placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

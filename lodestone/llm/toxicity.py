@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.boosting import Boosted, Isotonic, sigmoid
-from lodestone.llm.common import decode, pieces, save, text_of
+from lodestone.llm.common import decode, drop, pieces, save, text_of
 
 #: Words of the second person in the languages of the corpus.
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir dein deine deinen deinem deiner ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, *, sa
     sample = save(labelled_sample(docs.select(F.col("doc_id"), text_of().alias("text")), labels, label, allowed, sample_rows).withColumn("apart", apart), "toxic-sample")
 
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             toxic: dict[str, int] = {}
             clean: dict[str, int] = {}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
@@ -180,11 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, *, sa
 
     def featurize(batches):
         features = Features(lexicon)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             x = features.matrix(decode(t) for t in batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "apart")), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "apart", "x"])
 
     rows = sample.select("text", "doc_id", "label", "apart").mapInArrow(featurize, "doc_id long, label int, apart boolean, x array<double>").orderBy("doc_id").toArrow()
+    drop(sample)
     x = np.array(rows.column("x").to_pylist()).reshape(-1, Features.NAMES)
     return Scorer(lexicon, x, rows.column("label").to_numpy().astype(float), rows.column("apart").to_numpy().astype(bool))
 
