@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join, packing, personal_data, quality, substring_dedup
-from lodestone.llm.common import save
+from lodestone.llm.common import drop, save, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEPT = ("text", "lang", "source", "n_chars")
@@ -61,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each is written and read again before the next, and what only it needed is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept: list[DataFrame] = []
+        with tidy(kept):
+            docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(docs)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
