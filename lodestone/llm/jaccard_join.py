@@ -26,7 +26,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.byte_bpe import Memo
 from lodestone.llm.common import drop, pieces, save, text_of
 from lodestone.llm.components import connected_components
 
@@ -40,12 +39,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, n: int, hashes: Memo) -> np.ndarray:
+def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` words; a shorter text is one run, one without words none."""
     words = text.split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = min(n, len(h))
     grams = h[: len(h) - n + 1].copy()
     for i in range(1, n):
@@ -59,7 +58,7 @@ class Sampler:
     def __init__(self, runs: int, levels: int, branching: float, seed: int = 41):
         rng = np.random.default_rng(seed)
         self.odd = rng.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shift = rng.integers(0, 2**63, runs * levels, dtype=np.uint64)
+        self.turns = rng.integers(0, 2**63, runs * levels, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.runs, self.levels, self.branching = runs, levels, branching
 
     def sketch(self, tokens: np.ndarray) -> bytes:
@@ -72,8 +71,8 @@ class Sampler:
         """By run, by level: the sampled tokens."""
         below = np.uint64(min(2**64 - 1, int(2**64 * self.branching / len(tokens)))) if len(tokens) else np.uint64(0)
         found = []
-        for shift in self.shift:
-            chosen = tokens[_mixed(tokens ^ shift) <= below] if len(tokens) > self.branching else tokens
+        for turn in self.turns:  # tokens are mixed hashes, so a product's high bits are a hash of its own
+            chosen = tokens[tokens * turn <= below] if len(tokens) > self.branching else tokens
             found.append(chosen.view(np.int64).tolist())
         return [found[r * self.levels : (r + 1) * self.levels] for r in range(self.runs)]
 
@@ -183,11 +182,10 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
     sampler = Sampler(runs, levels, branching)
 
     def summarise(batches):
-        hashes = Memo(xxhash.xxh64_intdigest)
         for batch in pieces(batches, "text"):
             out = {"print": [], "size": [], "sketch": [], "paths": []}
             for text in batch.column("text").to_pylist():
-                tokens = shingle_set(text, n, hashes)
+                tokens = shingle_set(text, n)
                 out["print"].append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 out["size"].append(len(tokens))
                 out["sketch"].append(sampler.sketch(tokens) if len(tokens) else None)
@@ -252,9 +250,8 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
     held = once.join(asked, "key").select("cluster", "rep", "copies", "text")
 
     def sets(batches):
-        hashes = Memo(xxhash.xxh64_intdigest)
         for batch in pieces(batches, "text"):
-            found = [shingle_set(t, n, hashes).tobytes() for t in batch.column("text").to_pylist()]
+            found = [shingle_set(t, n).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "rep", "copies")), pa.array(found, pa.binary())], ["cluster", "rep", "copies", "tokens"])
 
     held = save(held.mapInArrow(sets, "cluster long, rep long, copies long, tokens binary"), "join-sets")

@@ -31,7 +31,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.byte_bpe import Memo
 from lodestone.llm.common import pieces, text_of
 
 #: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
@@ -47,15 +46,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, 16 << 20)
-
-
-def split_words(texts: list[bytes | None], hashes: Memo) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def split_words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """The words of each text, their number, and the hashes of all words in a row."""
     words = [t.split() if t else [] for t in texts]  # bytes.split() cuts at the six characters that are no part of words
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    return words, sizes, np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+    return words, sizes, np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
 
 
 def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -108,8 +103,8 @@ def super_kmers(h: np.ndarray, sizes: np.ndarray, k: int, m: int, hot: np.ndarra
 class Chunk:
     """The words of some documents, and their super-k-mers."""
 
-    def __init__(self, texts: list[bytes | None], k: int, m: int, hashes: Memo, hot: np.ndarray):
-        self.words, self.sizes, h = split_words(texts, hashes)
+    def __init__(self, texts: list[bytes | None], k: int, m: int, hot: np.ndarray):
+        self.words, self.sizes, h = split_words(texts)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.k = k
         self.starts, self.counts, self.keys = super_kmers(h, self.sizes, k, m, hot)
@@ -217,9 +212,8 @@ def hot_minimisers(docs: DataFrame, k: int, m: int, hot_strings: int, *, most: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
         for batch in pieces(batches, "text"):
-            _, sizes, h = split_words(batch.column("text").to_pylist(), hashes)
+            _, sizes, h = split_words(batch.column("text").to_pylist())
             starts, counts, keys = super_kmers(h, sizes, k, m, np.zeros(0, np.uint32))
             if len(starts):
                 _, one = np.unique(span_hashes(h, starts, starts + counts + k - 1), return_index=True)
@@ -264,7 +258,7 @@ def dedup_substrings(docs: DataFrame, *, k: int = 35, m: int = 5, chunk_bytes: i
         return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
     def split(table: pa.Table) -> pa.Table:
-        own = Chunk(ordered(table).column("text").to_pylist(), k, m, _hashes(), shared.value)
+        own = Chunk(ordered(table).column("text").to_pylist(), k, m, shared.value)
         found = list(own.blobs(buckets))
         number = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in found], pa.int64()), "chunk": pa.array([number] * len(found), pa.int64()), "blob": pa.array([x for _, x in found], pa.binary())})
@@ -277,7 +271,7 @@ def dedup_substrings(docs: DataFrame, *, k: int = 35, m: int = 5, chunk_bytes: i
         table = ordered(table)
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
         if table.num_rows:
-            own = Chunk(table.column("text").to_pylist(), k, m, _hashes(), shared.value)
+            own = Chunk(table.column("text").to_pylist(), k, m, shared.value)
             masks = np.zeros(len(own.strings), np.uint64)
             own.strings.clear()
             for o, x in zip(answers.column("ordinals").to_pylist(), answers.column("masks").to_pylist(), strict=True):

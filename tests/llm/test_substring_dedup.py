@@ -3,9 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import xxhash
 
-from lodestone.llm.byte_bpe import Memo
 from lodestone.llm.substring_dedup import ALONE, Chunk, dedup_substrings, hot_minimisers, span_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,7 +74,7 @@ def test_a_common_line_in_changing_surroundings(spark):
         """The most distinct strings of a minimiser over all chunks; windows that travel alone meet only their equals."""
         found = set()
         for a in range(20):
-            chunk = Chunk([t.encode() for _, t in rows[a::20]], 35, 5, Memo(xxhash.xxh64_intdigest), hot)
+            chunk = Chunk([t.encode() for _, t in rows[a::20]], 35, 5, hot)
             strings = list(chunk.strings)
             found |= {(key, strings[o]) for key, o in zip(chunk.keys.tolist(), chunk.ordinals.tolist(), strict=True) if key < int(ALONE)}
         return max(Counter(key for key, _ in found).values())
