@@ -13,6 +13,11 @@ from pyspark.sql import Window as W
 UNKNOWN_USER, UNKNOWN = 3.5, 3.75
 
 
+def six_digits(x: Column) -> Column:
+    """Six digits of x, from nine: noise below these doesn't split ties, and any engine can say it in the same steps."""
+    return F.floor(F.round(x, 9) * 1e6 + 0.5) / 1e6
+
+
 def item_similarity(ratings: DataFrame) -> DataFrame:
     """a, b, n, weight for items a <> b that share a rater, both ways (M5).
 
@@ -37,7 +42,7 @@ def item_similarity(ratings: DataFrame) -> DataFrame:
 def predict_by_items(ratings: DataFrame, targets: DataFrame, neighbours: int = 15) -> DataFrame:
     """user, item, prediction for each target (M5).
 
-    The 15 largest weights by (weight rounded to 6 digits, smaller neighbour) of the items that the user
+    The 15 largest weights by (weight of six digits, smaller neighbour) of the items that the user
     rated; pairs without a common rater weigh by their means. Unknown users get 3.5, unknown items the
     user's mean, and so does nothing else; a zero sum of weights gives 3.5. No clamp.
     """
@@ -49,7 +54,7 @@ def predict_by_items(ratings: DataFrame, targets: DataFrame, neighbours: int = 1
     weights = item_similarity(ratings).select(F.col("a").alias("item"), "b", "weight")
     far = (5 - F.abs(F.col("ma") - F.col("mb"))) / 5
     same = F.when(F.col("item") == F.col("b"), F.lit(1.0))
-    weighed = pairs.join(weights, ["item", "b"], "left").withColumn("w", F.round(F.coalesce("weight", same, far), 6))
+    weighed = pairs.join(weights, ["item", "b"], "left").withColumn("w", six_digits(F.coalesce("weight", same, far)))
     rank = F.row_number().over(W.partitionBy("user", "item").orderBy(F.desc("w"), "b"))
     best = weighed.withColumn("k", rank).where(F.col("k") <= neighbours)
     summed = best.groupBy("user", "item").agg((F.sum(F.col("w") * F.col("r")) / F.nullif(F.sum(F.abs("w")), F.lit(0.0))).alias("p"), F.lit(True).alias("known"))

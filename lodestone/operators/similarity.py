@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import PRIME
+from lodestone.operators.streams import numbered
+from lodestone.sources.tables import checkpoint
 
 
 def coefficients(n: int) -> list[tuple[int, int]]:
@@ -13,26 +18,35 @@ def coefficients(n: int) -> list[tuple[int, int]]:
     return [((7919 * (j + 1) * (j + 1) + 104729) % 999983 + 1, (15485863 * (j + 3)) % 999979) for j in range(n)]
 
 
+def _verified(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a < b, similarity of candidate pairs (g, h), by their whole item sets."""
+    both = met.join(sets.select("g", "items"), "g").join(sets.select(F.col("g").alias("h"), F.col("items").alias("others")), "h")
+    common = F.size(F.array_intersect("items", "others"))
+    similarity = common / (F.size("items") + F.size("others") - common)
+    return both.select("g", "h", similarity.alias("s")).where(F.col("s") >= threshold).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"), F.round("s", 6).alias("similarity"))
+
+
 def jaccard_exact(rows: DataFrame, group: str, item: str, threshold: float = 0.5) -> DataFrame:
     """a, b, similarity: pairs of groups whose item sets have a Jaccard similarity of ``threshold`` or more.
 
-    Prefix filter: with a set's items in order of rising frequency, two similar sets share one among
-    the first ``size - ceil(threshold * size) + 1``. So only the rare items of each set are joined,
-    sizes that can't fit are dropped in the join, and the rest is verified on whole sets.
+    Items are numbered by rising frequency. Of two similar sets the first item in common stands among
+    the first ``n - ceil(t n) + 1`` of the larger set and, as the smaller one must share more of its own,
+    among the first ``m - ceil(2t / (1 + t) m) + 1`` of that. Only these are joined, and a pair goes on
+    if its sizes fit and what follows the item in either set could still make up the overlap. Whole
+    sets, of numbers, are fetched only for those.
     """
     pairs = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    often = pairs.groupBy("i").agg(F.count("*").alias("n"))
-    ranked = F.array_sort(F.collect_list(F.struct("n", "i")))
-    sets = pairs.join(often, "i").groupBy("g").agg(ranked.alias("s")).select("g", F.transform("s", lambda x: x["i"]).alias("items"), F.size("s").alias("n"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    prefix = sets.select("g", "n", F.explode(F.slice("items", F.lit(1), keep.cast("int"))).alias("i"))
-    other = prefix.select(F.col("g").alias("h"), F.col("n").alias("m"), "i")
-    met = prefix.join(other, "i").where((F.col("g") < F.col("h")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select("g", "h").distinct()
-    full = sets.select("g", "items")
-    both = met.join(full, "g").join(full.select(F.col("g").alias("h"), F.col("items").alias("others")), "h")
-    common = F.size(F.array_intersect("items", "others"))
-    similarity = common / (F.size("items") + F.size("others") - common)
-    return both.where(similarity >= threshold).select(F.col("g").alias("a"), F.col("h").alias("b"), F.round(similarity, 6).alias("similarity"))
+    codes = numbered(pairs.groupBy("i").agg(F.count("*").alias("often")), "often", "i", name="code").select("i", "code")
+    sets = checkpoint(pairs.join(codes, "i").groupBy("g").agg(F.array_sort(F.collect_list("code")).alias("items")).withColumn("n", F.size("items")))
+
+    def prefix(share: float, names: list[str]) -> DataFrame:
+        keep = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1).cast("int")
+        return sets.select("g", "n", F.posexplode(F.slice("items", F.lit(1), keep)).alias("at", "i")).select("i", "g", "n", (F.col("n") - F.col("at")).alias("left")).toDF("i", *names)
+
+    larger, smaller = prefix(threshold, ["g", "n", "left"]), prefix(2 * threshold / (1 + threshold), ["h", "m", "rest"])
+    fits = (F.struct("m", "h") < F.struct("n", "g")) & (F.col("m") >= threshold * F.col("n"))
+    enough = F.least("left", "rest") >= (F.col("n") + F.col("m")) * F.lit(threshold / (1 + threshold)) - 1e-9
+    return _verified(larger.join(smaller, "i").where(fits & enough).select("g", "h").distinct(), sets, threshold)
 
 
 def minhash(rows: DataFrame, group: str, item: str, hashes: int = 60) -> DataFrame:
@@ -42,14 +56,43 @@ def minhash(rows: DataFrame, group: str, item: str, hashes: int = 60) -> DataFra
     return rows.groupBy(group).agg(F.array(*lows).alias("signature"))
 
 
+def _packed(signature: Column, hashes: int) -> list[Column]:
+    """The last four bits of each hash, 15 hashes to a long."""
+    found = []
+    for low in range(0, hashes, 15):
+        parts = [F.shiftleft(signature[j].bitwiseAND(F.lit(15)).cast("long"), 4 * (j - low)) for j in range(low, min(low + 15, hashes))]
+        found.append(reduce(lambda x, y: x.bitwiseOR(y), parts))
+    return found
+
+
+def _agreeing(a: str, b: str, hashes: int) -> Column:
+    """How many of the packed hashes are equal."""
+    apart = None
+    for k in range(-(-hashes // 15)):
+        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x111111111111111)))
+        apart = x if apart is None else apart + x
+    return F.lit(hashes) - apart
+
+
 def lsh_jaccard(rows: DataFrame, group: str, item: str, threshold: float = 0.5, bands: int = 30, width: int = 2) -> DataFrame:
-    """a, b, similarity of the pairs that share a band of their signatures, verified exactly."""
-    signed = minhash(rows, group, item, bands * width).select(F.col(group).alias("g"), "signature")
-    banded = signed.select("g", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.slice("signature", k * width + 1, width))).alias("band", "part"))
-    other = banded.select(F.col("g").alias("h"), "band", "part")
-    met = banded.join(other, ["band", "part"]).where("g < h").select("g", "h").distinct()
-    sets = rows.groupBy(F.col(group).alias("g")).agg(F.collect_set(item).alias("items"))
-    both = met.join(sets, "g").join(sets.select(F.col("g").alias("h"), F.col("items").alias("others")), "h")
-    common = F.size(F.array_intersect("items", "others"))
-    similarity = common / (F.size("items") + F.size("others") - common)
-    return both.where(similarity >= threshold).select(F.col("g").alias("a"), F.col("h").alias("b"), F.round(similarity, 6).alias("similarity"))
+    """a, b, similarity of the pairs that share a band of their signatures, verified exactly.
+
+    Sets are built once. A pair that meets in a band goes on if its sizes fit and as many of its hashes
+    agree, by four bits each, as all but a few in a million pairs at the threshold have; so whole sets
+    are fetched for a small part of the pairs that dissimilar sets make in the bands.
+    """
+    hashes = bands * width
+    sets = checkpoint(rows.groupBy(F.col(group).alias("g")).agg(F.collect_set(item).alias("items")))
+    exploded = sets.select("g", F.explode("items").alias("x"))
+    signed = minhash(exploded, "g", "x", hashes).join(sets.select("g", F.size("items").alias("n")), "g")
+    signed = checkpoint(signed.select("g", "n", "signature", *(p.alias(f"p{k}") for k, p in enumerate(_packed(F.col("signature"), hashes)))))
+    packs = [c for c in signed.columns if c[0] == "p"]
+    parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.slice("signature", k * width + 1, width))
+    banded = signed.select("g", "n", *packs, F.posexplode(parts).alias("band", "part"))
+    other = banded.select(F.col("g").alias("h"), F.col("n").alias("m"), *(F.col(c).alias(f"q{c[1:]}") for c in packs), "band", "part")
+    same = threshold + (1 - threshold) / 16
+    least = hashes * same - 4.5 * math.sqrt(hashes * same * (1 - same))
+    met = banded.join(other, ["band", "part"]).where((F.col("g") < F.col("h")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")) & (_agreeing("p", "q", hashes) >= least))
+    return _verified(met.select("g", "h").distinct(), sets, threshold)

@@ -52,7 +52,7 @@ def candidate_containment(spark, sf_dir):
 
 
 def jaccard_exact(spark, sf_dir):
-    return S.jaccard_exact(_words(spark, sf_dir), "doc_id", "word")
+    return S.jaccard_exact(_words(spark, sf_dir), "doc_id", "word").orderBy("a", "b")
 
 
 def minhash_signatures(spark, sf_dir):
@@ -60,7 +60,7 @@ def minhash_signatures(spark, sf_dir):
 
 
 def lsh_jaccard(spark, sf_dir):
-    return S.lsh_jaccard(_codes(spark, sf_dir), "doc_id", "code")
+    return S.lsh_jaccard(_codes(spark, sf_dir), "doc_id", "code").orderBy("a", "b")
 
 
 _PAIRS = "SELECT DISTINCT l_orderkey AS g, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey"

@@ -27,8 +27,9 @@ def _rounded(df):
 
 
 def item_similarity(spark, sf_dir):
+    """Weights of six digits, without noise in ties."""
     train, _ = _split(spark, sf_dir)
-    return P.item_similarity(train).where("a < b").select("a", "b", "n", F.round("weight", 6).alias("weight"))
+    return P.item_similarity(train).where("a < b").select("a", "b", "n", P.six_digits(F.col("weight")).alias("weight"))
 
 
 def cf_predict(spark, sf_dir):
@@ -107,7 +108,7 @@ _SIM = """s AS MATERIALIZED (SELECT a.item AS a, b.item AS b, count(*) AS n, avg
     FROM t a JOIN t b ON a."user" = b."user" AND a.item < b.item GROUP BY 1, 2),
     sim AS MATERIALIZED (SELECT a, b, n, CASE WHEN n = 1 THEN (5 - abs(x.m - y.m)) / 5 WHEN n = 2 THEN near WHEN norm > 1e-12 THEN c / norm ELSE 0 END AS weight
     FROM s JOIN im x ON x.item = a JOIN im y ON y.item = b)"""
-_CF = """w AS (SELECT v."user", v.item, q.item AS b, q.r, round(coalesce(z.weight, CASE WHEN v.item = q.item THEN 1.0 END, (5 - abs(x.m - y.m)) / 5), 6) AS w
+_CF = """w AS (SELECT v."user", v.item, q.item AS b, q.r, floor(round(coalesce(z.weight, CASE WHEN v.item = q.item THEN 1.0 END, (5 - abs(x.m - y.m)) / 5), 9) * 1e6 + 0.5) / 1e6 AS w
     FROM v JOIN im x ON x.item = v.item JOIN t q ON q."user" = v."user" JOIN im y ON y.item = q.item
     LEFT JOIN sim z ON z.a = least(v.item, q.item) AND z.b = greatest(v.item, q.item)),
     k AS (SELECT *, row_number() OVER (PARTITION BY "user", item ORDER BY w DESC, b) AS k FROM w),
@@ -127,7 +128,7 @@ _ROUTED = """f AS (SELECT v."user", v.item, v."user" IN (SELECT "user" FROM t WH
     WHEN NOT ue AND NOT ie AND u AND b THEN 'nulls' WHEN NOT ue AND NOT ie AND NOT u AND b THEN 'business_null' WHEN NOT ue AND NOT ie AND u AND NOT b THEN 'user_null' ELSE 'null' END AS route FROM f)"""
 
 SQL = {
-    "item_similarity": f"WITH {_R}, {_SIM} SELECT a, b, n, round(weight, 6) AS weight FROM sim",
+    "item_similarity": f"WITH {_R}, {_SIM} SELECT a, b, n, floor(round(weight, 9) * 1e6 + 0.5) / 1e6 AS weight FROM sim",
     "cf_predict": f'WITH {_R}, {_SIM}, {_CF} SELECT "user", item, round(prediction, 6) AS prediction FROM cf',
     "hybrid_blend": f'WITH {_R}, {_SIM}, {_CF}, {_bias("m")} SELECT "user", item, round(0.1 * cf.prediction + 0.9 * m.prediction, 6) AS prediction FROM cf JOIN m USING ("user", item)',
     "ensemble_mean": f"""WITH {_R}, {', '.join(_bias(f'm{k}', f'item % 3 <> {k}') for k in range(3))}
