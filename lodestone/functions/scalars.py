@@ -48,3 +48,8 @@ def text_number(x: Column) -> Column:
 def absent(x: Column, word: str = "None") -> Column:
     """Null where a text is the word for a missing value (P10)."""
     return F.nullif(x, F.lit(word))
+
+
+def short_year(day: Column) -> Column:
+    """A text date ``m/d/yyyy`` with a year of two digits; day and month keep their padding."""
+    return F.regexp_replace(day, r"/[0-9]*([0-9]{2})$", "/$1")

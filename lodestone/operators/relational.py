@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestone.operators.streams import numbered
 
@@ -71,3 +72,35 @@ def mean_vectors(ids: DataFrame, vectors: DataFrame, group: str, key: str, vecto
     """Mean vector of the ids of a group, a row for each place (A18, J4, M23); unknown ids are ignored."""
     found = ids.join(vectors.select(key, vector), key).select(group, F.posexplode(vector).alias("place", "x"))
     return found.groupBy(group, "place").agg(F.round(F.avg(F.col("x").cast("double")), digits).alias("mean"))
+
+
+def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median: the value at place n // 2, from 0, of each group in order.
+
+    Equal values are counted first, so a group holds no more than its distinct values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    group = W.partitionBy(key)
+    placed = counted.withColumn("_upto", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
+    return placed.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(key).agg(F.min(value).alias("median"))
+
+
+def group_map(df: DataFrame, key: str, name: str) -> DataFrame:
+    """key, counts: a map from each value of ``name`` in a group to its rows (A9); keys of a map are distinct by the count before."""
+    counted = df.groupBy(key, name).agg(F.count("*").alias("_n"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name, "_n"))).alias("counts"))
+
+
+def draw(df: DataFrame, n: int, *key: str, seed: int = 7) -> DataFrame:
+    """``n`` rows without replacement, the same at any partitioning: those whose keys have the least digests."""
+    return df.orderBy(F.md5(F.concat_ws("-", *key, F.lit(str(seed))))).limit(n)
+
+
+def draw_again(df: DataFrame, n: int, *order: str, seed: int = 7) -> DataFrame:
+    """``n`` draws with replacement: draw, and the row at a place that an arithmetic hash of the draw gives."""
+    rows = numbered(df, *order, name="_place")
+    total = df.count()
+    if not total:
+        return df.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.col("id") * 48271 + seed * 69621, F.lit(1000003)) % total + 1).alias("_place"))
+    return draws.join(rows, "_place").drop("_place")

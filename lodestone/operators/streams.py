@@ -66,3 +66,17 @@ def reservoir_snapshots(rows: DataFrame, user: str, size: int = 100, every: int
     marks = rows.where(n % every == 0).select(n.alias("n"), F.explode(F.array(*map(F.lit, slots))).alias("slot")).withColumn("user", F.lit(None).cast(dict(rows.dtypes)[user])).withColumn("asks", F.lit(1))
     last = F.last("user", ignorenulls=True).over(W.partitionBy("slot").orderBy("n", "asks"))
     return taken.unionByName(marks).withColumn("user", last).where("asks = 1").drop("asks")
+
+
+def running_distinct(rows: DataFrame, user: str, size: int) -> DataFrame:
+    """window, new, seen: users that come first in a window, and all users up to its end (W6). Rows need ``seq``.
+
+    The running sum is taken in ranges of windows, each moved by the sum of the ones before.
+    """
+    window = F.floor((F.col("seq") - 1) / size)
+    first = rows.groupBy(user).agg(F.min("seq").alias("seq")).groupBy(window.alias("window")).agg(F.count("*").alias("new"))
+    every = rows.select(window.alias("window")).distinct().join(first, "window", "left").fillna(0, ["new"])
+    dealt = checkpoint(every.repartitionByRange("window").withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").agg(F.sum("new").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each partition
+    own = F.sum("new").over(W.partitionBy("_part").orderBy("window"))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").select("window", "new", (F.col("_own") + F.col("_before")).alias("seen"))

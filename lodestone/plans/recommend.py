@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import recommend as P
-from lodestone.sources.tables import table
+from lodestone.sources.tables import checkpoint, table
 
 
 def _ratings(spark, sf_dir):
@@ -100,6 +100,30 @@ def gbt_predict(spark, sf_dir):
     return model.transform(rows.where("held")).select("user", "item", "prediction")
 
 
+def gbt_tuning(spark, sf_dir):
+    """Errors of four settings over three folds."""
+    train = _features(spark, sf_dir).where("not held")
+    return P.tune_trees(train, FEATURES, "r", [2, 3], [2, 4])
+
+
+def gbt_folds(spark, sf_dir):
+    """The mean of models that each leave out one of five folds."""
+    rows = _features(spark, sf_dir)
+    return P.fold_ensemble(rows.where("not held"), FEATURES, "r", rows.where("held"), folds=5, depth=3, trees=3)
+
+
+#: The features that a route's model may use: those of what is known there.
+ROUTE_FEATURES = {"comb": FEATURES, "users": ["user_mean", "user_n", "balance"], "businesses": ["discount", "tax", "price", "item_mean", "item_n"], "nulls": ["balance", "price"]}
+
+
+def routed_predict(spark, sf_dir):
+    """Each held-out pair by the model of its route, or by what is known without one."""
+    rows = checkpoint(_features(spark, sf_dir))
+    train = rows.where("not held")
+    models = {route: (P.train_trees(train, columns, "r", depth=3, trees=3), columns) for route, columns in ROUTE_FEATURES.items()}
+    return P.dispatch(_routed(spark, sf_dir), rows.drop("r", "held"), models, cold_start_predict_fallback(spark, sf_dir))
+
+
 _R = f"""r AS MATERIALIZED (SELECT o_custkey AS "user", l_partkey AS item, avg(1 + CAST(l_quantity AS INT) % 5) AS r, max(l_orderkey) % 10 = 0 AS held
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
     t AS MATERIALIZED (SELECT "user", item, r FROM r WHERE NOT held), v AS MATERIALIZED (SELECT "user", item, r FROM r WHERE held),
@@ -145,4 +169,4 @@ SQL = {
         LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = r."user" """,
 }
 
-QUERIES = {f.__name__: f for f in (item_similarity, cf_predict, hybrid_blend, ensemble_mean, rmse, error_histogram, cold_start_route_counts, cold_start_predict_fallback, gbt_features, gbt_predict)}
+QUERIES = {f.__name__: f for f in (item_similarity, cf_predict, hybrid_blend, ensemble_mean, rmse, error_histogram, cold_start_route_counts, cold_start_predict_fallback, gbt_features, gbt_predict, gbt_tuning, gbt_folds, routed_predict)}

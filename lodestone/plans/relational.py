@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import short_year
 from lodestone.operators import relational as R
 from lodestone.sources.tables import table
 
@@ -118,6 +119,8 @@ def string_date_scalars(spark, sf_dir):
         "o_orderkey", F.substring("o_orderpriority", 1, 4).alias("head"), F.element_at(F.split("o_orderpriority", "-"), -1).alias("tail"),
         F.array_join(F.reverse(F.split("o_orderpriority", "-")), "-").alias("turned"), F.year("o_orderdate").alias("year"), F.length("o_orderpriority").alias("size"),
         F.concat_ws("-", F.date_format("o_orderdate", "M/d/yy"), F.col("o_custkey").cast("string")).alias("day_customer"),
+        F.concat_ws("-", short_year(F.date_format("o_orderdate", "MM/dd/yyyy")), F.col("o_custkey").cast("string")).alias("padded_day_customer"),
+        F.trim(F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).alias("trimmed"), F.replace("o_orderpriority", F.lit("-"), F.lit("_")).alias("replaced"),
     )
 
 
@@ -127,13 +130,34 @@ def array_scalars(spark, sf_dir):
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.array_join(F.array_sort(words), ",").alias("ordered"), F.element_at(words, 1).alias("first_word"), F.size(words).alias("n_words"),
-        (F.size(F.array_except(F.slice(words, 1, 1), words)) == 0).alias("holds"), key.bitwiseXOR(F.lit(37)).alias("mixed"),
+        (F.size(F.array_except(words, F.array(F.element_at(words, 1), F.element_at(words, -1)))) == 0).alias("holds"), key.bitwiseXOR(F.lit(37)).alias("mixed"),
         F.pmod(F.pmod(key * 48271 + 11, F.lit(1000000007)), F.lit(997)).alias("hashed"),
         (F.length(F.bin(key)) - F.length(F.expr("rtrim('0', bin(p_partkey))"))).alias("zeros"),
+        F.array_join(F.flatten(F.transform(words, lambda w: F.array(w, F.reverse(w)))), ",").alias("flat"),
+        F.array_join(F.flatten(F.transform(words, lambda x: F.transform(words, lambda y: F.concat(x, F.lit("-"), y)))), ",").alias("product"),
         F.aggregate(F.transform(words, F.length), F.lit(0), lambda a, x: a + x).alias("letters"),
     )
 
 
+def upper_median(spark, sf_dir):
+    return R.upper_median(table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity")
+
+
+def group_to_map(spark, sf_dir):
+    """Orders of a customer by priority, as a map, and what is looked up in it."""
+    made = R.group_map(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+    urgent = F.lit("1-URGENT")
+    return made.select("o_custkey", F.size("counts").alias("n"), F.map_contains_key("counts", urgent).alias("has"), F.try_element_at("counts", urgent).alias("urgent"))
+
+
+def sample_without_replacement(spark, sf_dir):
+    return R.draw(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), 50, "l_orderkey", "l_linenumber")
+
+
+def sample_with_replacement(spark, sf_dir):
+    return R.draw_again(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 200, "o_orderkey")
+
+
 def label_encode(spark, sf_dir):
     return R.label_encode(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_brand", "brand_code")
 
@@ -179,10 +203,19 @@ SQL = {
         FROM events GROUP BY 1""",
     "string_date_scalars": """SELECT o_orderkey, substr(o_orderpriority, 1, 4) AS head, split_part(o_orderpriority, '-', -1) AS tail,
         array_to_string(list_reverse(string_split(o_orderpriority, '-')), '-') AS turned, CAST(year(o_orderdate) AS INT) AS year, CAST(length(o_orderpriority) AS INT) AS size,
-        strftime(o_orderdate, '%-m/%-d/%y') || '-' || o_custkey AS day_customer FROM orders""",
+        strftime(o_orderdate, '%-m/%-d/%y') || '-' || o_custkey AS day_customer, strftime(o_orderdate, '%m/%d/%y') || '-' || o_custkey AS padded_day_customer,
+        trim('  ' || o_orderpriority || ' ') AS trimmed, replace(o_orderpriority, '-', '_') AS replaced FROM orders""",
     "array_scalars": """SELECT p_partkey, array_to_string(list_sort(string_split(p_name, ' ')), ',') AS ordered, split_part(p_name, ' ', 1) AS first_word,
-        CAST(len(string_split(p_name, ' ')) AS INT) AS n_words, true AS holds, xor(p_partkey, 37) AS mixed, (p_partkey * 48271 + 11) % 1000000007 % 997 AS hashed,
+        CAST(len(string_split(p_name, ' ')) AS INT) AS n_words, len(list_filter(string_split(p_name, ' '), lambda x: x <> split_part(p_name, ' ', 1) AND x <> split_part(p_name, ' ', -1))) = 0 AS holds,
+        array_to_string(flatten([[w, reverse(w)] for w in string_split(p_name, ' ')]), ',') AS flat,
+        array_to_string(flatten([[x || '-' || y for y in string_split(p_name, ' ')] for x in string_split(p_name, ' ')]), ',') AS product, xor(p_partkey, 37) AS mixed, (p_partkey * 48271 + 11) % 1000000007 % 997 AS hashed,
         CAST(length(bin(p_partkey)) - length(rtrim(bin(p_partkey), '0')) AS INT) AS zeros, CAST(length(replace(p_name, ' ', '')) AS INT) AS letters FROM part""",
+    "upper_median": "SELECT l_partkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS median FROM lineitem GROUP BY 1",
+    "group_to_map": """SELECT o_custkey, CAST(count(DISTINCT o_orderpriority) AS INT) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') > 0 AS has,
+        nullif(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS urgent FROM orders GROUP BY 1""",
+    "sample_without_replacement": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY md5(l_orderkey || '-' || l_linenumber || '-7') LIMIT 50",
+    "sample_with_replacement": """WITH p AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS place, count(*) OVER () AS n FROM orders)
+        SELECT i AS draw, o_orderkey, o_custkey FROM range(200) r(i) JOIN p ON place = (i * 48271 + 7 * 69621) % 1000003 % n + 1""",
     "label_encode": "SELECT p_partkey, p_brand, p_type, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS brand_code FROM part",
     "minmax_scale": """SELECT p_partkey, round((p_size - min(p_size) OVER ()) / CAST(max(p_size) OVER () - min(p_size) OVER () AS DOUBLE), 6) AS p_size,
         round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS p_retailprice FROM part""",
@@ -197,6 +230,6 @@ QUERIES = {
     for f in (
         review_count, review_count_year, distinct_users, distinct_items, top10_users, top10_items, avg_rating_by_city, top10_cities, multi_measure_avg, partition_profile,
         lookup_left_join, roleplay_left_join, membership_semi_anti, union_distinct_reverse_edges, describe_numeric, json_props, string_date_scalars, array_scalars,
-        label_encode, minmax_scale, category_explode_mean_embedding,
+        upper_median, group_to_map, sample_without_replacement, sample_with_replacement, label_encode, minmax_scale, category_explode_mean_embedding,
     )
 }

@@ -28,6 +28,10 @@ def fm_ratio(spark, sf_dir):
     return fm_distinct_by_window(spark, sf_dir).agg(F.round(F.sum("estimate") / F.sum("truth"), 6).alias("ratio"))
 
 
+def running_distinct_users(spark, sf_dir):
+    return S.running_distinct(_events(spark, sf_dir), "user_id", WINDOW)
+
+
 def reservoir_snapshots(spark, sf_dir):
     return S.reservoir_snapshots(_events(spark, sf_dir), "user_id")
 
@@ -80,6 +84,8 @@ SQL = {
         FROM (SELECT DISTINCT (seq - 1) // {WINDOW} AS w FROM e) LEFT JOIN c USING (w)""",
     "fm_distinct_by_window": f'WITH {_FM} SELECT w AS "window", truth, estimate FROM t JOIN x USING (w)',
     "fm_ratio": f"WITH {_FM} SELECT round(sum(estimate) / sum(truth), 6) AS ratio FROM t JOIN x USING (w)",
+    "running_distinct_users": f"""WITH {_SEQ}, f AS (SELECT (min(seq) - 1) // {WINDOW} AS w FROM e GROUP BY user_id), n AS (SELECT w, count(*) AS n FROM f GROUP BY 1)
+        SELECT w AS "window", coalesce(n, 0) AS new, CAST(sum(coalesce(n, 0)) OVER (ORDER BY w) AS BIGINT) AS seen FROM (SELECT DISTINCT (seq - 1) // {WINDOW} AS w FROM e) LEFT JOIN n USING (w)""",
     "reservoir_snapshots": f"""WITH {_SEQ}, a AS (SELECT seq, user_id, CASE WHEN seq <= 100 THEN seq - 1 WHEN (seq * 48271 + 11) % 1000003 / 1000003.0::DOUBLE < 100 / seq THEN (seq * 69621 + 7) % 100 END AS slot FROM e),
         m AS (SELECT seq AS n, unnest([0, 20, 40, 60, 80]) AS slot FROM e WHERE seq % 100 = 0)
         SELECT n, CAST(m.slot AS INT) AS slot, max_by(user_id, seq) AS "user" FROM m JOIN a ON a.slot = m.slot AND seq <= n GROUP BY 1, 2""",
@@ -92,4 +98,4 @@ SQL = {
         SELECT id, cluster, round(d, 4) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1""",
 }
 
-QUERIES = {f.__name__: f for f in (bloom_fpr_by_window, fm_distinct_by_window, fm_ratio, reservoir_snapshots, events_tumbling_count, cluster_summaries, nearest_centroid_mahalanobis, kmeans_assign, bfr_rounds)}
+QUERIES = {f.__name__: f for f in (bloom_fpr_by_window, fm_distinct_by_window, fm_ratio, running_distinct_users, reservoir_snapshots, events_tumbling_count, cluster_summaries, nearest_centroid_mahalanobis, kmeans_assign, bfr_rounds)}

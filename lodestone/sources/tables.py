@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.scalars import short_year
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir`` (S12); Catalyst prunes columns and pushes filters."""
@@ -16,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
 
 
@@ -41,10 +46,9 @@ def read_points(spark: SparkSession, path: str, size: int) -> DataFrame:
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """key, product_id of quoted retail rows: date and customer without leading zeros make the key."""
+    """key, product_id of quoted retail rows: the date with a short year and the customer without leading zeros make the key."""
     schema = "day string, customer string, a string, b string, c string, product string"
-    day = F.coalesce(F.try_to_timestamp("day", F.lit("M/d/yyyy")), F.try_to_timestamp("day", F.lit("M/d/yy")))
-    return read_csv(spark, path, schema).select(F.concat_ws("-", F.date_format(day, "M/d/yy"), F.expr("try_cast(customer AS bigint)").cast("string")).alias("key"), F.expr("try_cast(product AS bigint)").alias("product_id"))
+    return read_csv(spark, path, schema).select(F.concat_ws("-", short_year(F.trim("day")), F.expr("try_cast(customer AS bigint)").cast("string")).alias("key"), F.expr("try_cast(product AS bigint)").alias("product_id"))
 
 
 def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:

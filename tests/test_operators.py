@@ -206,3 +206,38 @@ def test_scalars(spark):
     c = F.col("x")
     df = spark.createDataFrame([(12,), (0,), (7,)], "x long").select("x", trailing_zeros(c).alias("z"), guarded_ratio(F.lit(6), c).alias("r"), sigmoid(c - c).alias("s"), step(c - 7).alias("t"), text_number(F.lit("word")).alias("w"))
     assert rows(df) == [(0, 1, 0.0, 0.5, 0.0, 3296532592), (7, 0, 6 / 7, 0.5, 1.0, 3296532592), (12, 2, 0.5, 0.5, 1.0, 3296532592)]
+
+
+def test_tuned_and_routed_trees(spark):
+    from lodestone.plans import recommend as Q
+
+    sf = "/root/testdata/sf0.001"
+    tuned = Q.gbt_tuning(spark, sf).collect()
+    assert [(r.depth, r.trees) for r in tuned] == [(2, 2), (2, 4), (3, 2), (3, 4)]
+    assert [r.best for r in tuned].count(True) == 1 and min(tuned, key=lambda r: r.rmse).best
+    held = {(r.user, r.item) for r in Q._split(spark, sf)[1].collect()}
+    for rows in (Q.gbt_folds(spark, sf).collect(), routed := Q.routed_predict(spark, sf).collect()):
+        assert len(rows) == len(held) and {(r.user, r.item) for r in rows} == held
+        assert all(r.prediction is None or 1 <= r.prediction <= 5 for r in rows)
+    known = {(r.user, r.item): (r.route, r.prediction) for r in Q.cold_start_predict_fallback(spark, sf).collect()}
+    for r in routed:
+        route, p = known[r.user, r.item]
+        assert r.route == route and (r.prediction is not None if route in Q.ROUTE_FEATURES else r.prediction == p)
+
+
+def test_stored_models_local_tables_and_missing_words(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from lodestone.functions.scalars import absent
+    from lodestone.operators.recommend import train_trees, with_missing
+    from lodestone.operators.relational import draw, draw_again
+    from lodestone.sources.tables import load_model, local_table, save_model
+
+    rows = local_table(spark, [(i, float(i % 3), None if i % 4 else 1.0, float(i % 3)) for i in range(40)], "user int, x double, y double, r double")
+    model = train_trees(rows, ["x", "y"], "r", depth=2, trees=2)
+    save_model(model, str(tmp_path / "model"))
+    given = with_missing(rows, ["x", "y"])
+    again = load_model(PipelineModel, str(tmp_path / "model")).transform(given)
+    assert again.select("user", "prediction").orderBy("user").collect() == model.transform(given).select("user", "prediction").orderBy("user").collect()
+    words = local_table(spark, [("None",), ("a",), (None,)], "w string").select(absent(F.col("w")).alias("w"))
+    assert sorted(str(r.w) for r in words.collect()) == ["None", "None", "a"]
+    assert draw(rows, 5, "user").count() == 5 and draw_again(rows, 90, "user").count() == 90 and draw_again(rows.limit(0), 3, "user").count() == 0

@@ -13,8 +13,8 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in T.read_json_lines(spark, str(tmp_path / "a.json"), "user_id string, stars double").orderBy("user_id").collect()] == [("u", 4.0), ("v", None)]
     (tmp_path / "p.csv").write_text("1,0,2.5,3\n2,1,-1,0\n")
     assert [tuple(r) for r in T.read_points(spark, str(tmp_path / "p.csv"), 2).orderBy("id").collect()] == [(1, 0.0, [2.5, 3.0]), (2, 1.0, [-1.0, 0.0])]
-    (tmp_path / "t.csv").write_text('"d","c","a","b","x","p"\n"11/1/2000","00012","","","","0047"\n"1/3/01","7","","","","5"\n')
-    assert [tuple(r) for r in T.read_transactions(spark, str(tmp_path / "t.csv")).orderBy("product_id").collect()] == [("1/3/01-7", 5), ("11/1/00-12", 47)]
+    (tmp_path / "t.csv").write_text('"d","c","a","b","x","p"\n"11/1/2000","00012","","","","0047"\n"1/3/01","7","","","","5"\n"01/03/2001","07","","","","6"\n')
+    assert [tuple(r) for r in T.read_transactions(spark, str(tmp_path / "t.csv")).orderBy("product_id").collect()] == [("1/3/01-7", 5), ("01/03/01-7", 6), ("11/1/00-12", 47)]
     (tmp_path / "c.csv").write_text('city,stars\n"O\'Fallon, MO",3.5\n')
     assert T.read_csv(spark, str(tmp_path / "c.csv"), "city string, stars double").first().city == "O'Fallon, MO"
 
