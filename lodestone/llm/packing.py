@@ -32,43 +32,41 @@ END_ID = 2
 class WordBpe:
     """Ids of texts by a ``tokenizers`` file, as the library gives them with add_special_tokens=False.
 
-    A special token's string in a text is its id. The memos hold ``limit`` bytes each at most.
+    A special token's string in a text is its id. The memo holds about ``limit`` bytes and what 4 MB of texts add.
     """
 
     #: Letters whose lower case and normal form are the same by any library, then marks that stand apart.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-    #: Bytes of an entry of a memo besides its key and value.
+    #: Bytes of an entry of the memo besides its key and value.
     ENTRY = 200
 
-    def __init__(self, path: str, limit: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 160 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.cores, self.known, self.held = limit, {}, {"": b""}, [0, 0]
+        self.limit, self.known, self.held = limit, {"": b""}, 0
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode new chunks at once: each distinct word in lower case, and each run of marks."""
-        if self.held[0] > self.limit:
-            self.known, self.held[0] = {"": b""}, 0
-        if self.held[1] > self.limit:
-            self.cores, self.held[1] = {}, 0
-        split = {c: (m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(c)) else (c, "") for c in chunks - self.known.keys()}
-        words = list({word for word, marks in split.values() if marks or self.PLAIN.fullmatch(word)} - self.cores.keys())
+        if self.held > self.limit:
+            self.known, self.held = {"": b""}, 0
+        known = self.known
+        split = {c: (m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(c)) else (c, "") for c in chunks - known.keys()}
+        words = list({word for word, marks in split.values() if marks or self.PLAIN.fullmatch(word)} - known.keys())
         for at in range(0, len(words), 100):
             part = words[at : at + 100]
-            self._keep(1, self.cores, dict(zip(part, self._words(part), strict=True)))
-        rest = list({x for parts in split.values() for x in parts if x} - self.cores.keys())
-        self._keep(1, self.cores, dict(zip(rest, self._each(rest), strict=True)))
-        cores = self.cores
-        self._keep(0, self.known, {c: cores[core] + cores[marks] if marks else cores[core] for c, (core, marks) in split.items() if core})
-
-    def _keep(self, which: int, memo: dict[str, bytes], new: dict[str, bytes]) -> None:
-        memo.update(new)
-        self.held[which] += self.ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+            self._keep(dict(zip(part, self._words(part), strict=True)))
+        rest = list({x for parts in split.values() for x in parts if x} - known.keys())
+        self._keep(dict(zip(rest, self._each(rest), strict=True)))
+        self._keep({c: known[core] + known[marks] for c, (core, marks) in split.items() if c not in known})
+
+    def _keep(self, new: dict[str, bytes]) -> None:
+        self.known.update(new)
+        self.held += self.ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
