@@ -41,7 +41,7 @@ class WordBpe:
     #: Bytes of an entry of the memo besides its key and value.
     ENTRY = 200
 
-    def __init__(self, path: str, limit: int = 160 << 20):
+    def __init__(self, path: str, limit: int = 256 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
