@@ -10,7 +10,7 @@ compared in blocks. The number of runs follows from the levels and the target re
 
 In a bucket, sets are compared by sketches of 64 bytes whose threshold lies four standard deviations
 below the wanted similarity; what passes is written as the edges of a spanning forest, so no bucket
-ever writes all its pairs. Sets that these edges connect are a cluster: each set goes once to its
+ever writes all its pairs; a set is compared only with those that no edge has reached yet. Sets that these edges connect are a cluster: each set goes once to its
 cluster, where all pairs are compared exactly, in blocks, as products of incidence matrices. So the
 result has exact similarities only, and also the links within a cluster that no run had met.
 """
@@ -30,6 +30,8 @@ from lodestone.llm.common import drop, pieces, save, text_of
 from lodestone.llm.components import connected_components
 
 SKETCH = 64
+#: Cells of more sets than this are walked, smaller ones are compared together.
+WALKED = 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +117,41 @@ def bucket_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at[k : k + (1 << 16)], at[k : k + (1 << 16)] + d
 
 
+def walk(sketch: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float, enough: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the near sketches in ``left``, or between ``left`` and ``right``.
+
+    Each set that is reached is compared with those not reached yet, and with no other: a group of near
+    copies costs one comparison for each of its sets, not one for each pair.
+    """
+    unseen = [left, left if right is None else right]
+    held = [sketch[x] for x in unseen]
+    sizes = [size[x] for x in unseen]
+    found_a, found_b = [], []
+
+    def reach(side: int, keep: np.ndarray) -> None:
+        for s in (0, 1) if right is None else (side,):
+            unseen[s], held[s], sizes[s] = unseen[s][keep], held[s][keep], sizes[s][keep]
+
+    while len(unseen[0]) and len(unseen[1]):
+        queue = [(unseen[0][0], 0)]
+        reach(0, np.arange(len(unseen[0])) > 0)
+        while queue:
+            x, side = queue.pop()
+            other = side if right is None else 1 - side
+            if not len(unseen[other]):
+                continue
+            near = (held[other] == sketch[x]).sum(1) >= enough
+            near &= np.minimum(sizes[other], size[x]) >= threshold * np.maximum(sizes[other], size[x])
+            if near.any():
+                new = unseen[other][near]
+                found_a.append(np.full(len(new), x))
+                found_b.append(new)
+                queue += [(y, other) for y in new]
+                reach(other, ~near)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of all intersections, as products of incidence matrices over some tokens at a time."""
     a = np.concatenate(left)
@@ -154,7 +191,12 @@ def _blocks(rows: DataFrame, key: str, block: int, weight: Column | None = None,
     """
     heavy = F.lit(0) if weight is None else F.ceil(F.sum(weight) / most)
     sizes = rows.groupBy(key).agg(F.count("*").alias("n"), heavy.alias("heavy")).where(F.col("n") > 1).withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), "heavy").cast("int"))
-    dealt = rows.join(sizes.select(key, "blocks"), key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return _dealt(rows.join(sizes.select(key, "blocks"), key))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """What ``_blocks`` returns, of rows that know the number of blocks of their key."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
@@ -210,16 +252,16 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
         known = save(level.join(sizes, "bucket"), f"join-level-{depth}")
         done_with.append(known)
         done = known if depth == levels - 1 else known.where(F.col("n") <= bucket)
-        final = done.select("bucket", "rep") if final is None else final.union(done.select("bucket", "rep"))
+        done = done.select("bucket", "rep", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
+        final = done if final is None else final.union(done)
         if depth < levels - 1:
             more = known.where(F.col("n") > bucket).join(classes.select("rep", "paths"), "rep")
             level = more.select("rep", "run", "bucket", F.explode(F.col("paths")[F.col("run")][depth + 1]).alias("token")).select("rep", "run", F.xxhash64("bucket", "token").alias("bucket")).distinct()
 
     # sketches in the buckets; small buckets share a task's call
-    met = _blocks(final, "bucket", bucket).join(classes.select("rep", "size", "sketch"), "rep")
-    total = met.groupBy().agg(F.count("*")).first()[0]
+    total = final.agg(F.sum("blocks")).first()[0] or 0
     slots = max(1, total // 8192)
-    met = met.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
+    met = _dealt(final).join(classes.select("rep", "size", "sketch"), "rep").withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
     wanted = threshold + (1 - threshold) / 256
     enough = SKETCH * wanted - 4 * math.sqrt(SKETCH * wanted * (1 - wanted))
 
@@ -230,6 +272,14 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
         rep, size, own = (group.column(c).to_numpy() for c in ("rep", "size", "own"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         links: list[tuple[np.ndarray, np.ndarray]] = []
+        edges = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if high - low > WALKED:
+                at = np.arange(low, high)
+                i, j = cells[low, 1:]
+                a, b = walk(sketch, size, at[own[at] == i], None if i == j else at[own[at] == j], threshold, enough)
+                links.append((rep[a], rep[b]))
+                key[at] = -1 - at  # these are done: keys of their own meet nothing below
         for a, b in bucket_pairs(key):
             apart = (cells[a, 1] == cells[a, 2]) | (own[a] != own[b])  # in a pair of blocks: from one to the other
             near = apart & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]))

@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from lodestone.llm.jaccard_join import join_documents, keep_one, levels_for, runs_for
+import numpy as np
+
+from lodestone.llm.jaccard_join import forest, join_documents, keep_one, levels_for, runs_for, walk
 
 
 def sets(rows, n=5):
@@ -99,3 +101,27 @@ def test_blocks_bounded_by_bytes_give_the_same_links(spark):
 
 def test_runs_follow_the_recall():
     assert runs_for(0.5, 0.8, 1.6, 3) < runs_for(0.999, 0.8, 1.6, 3) < runs_for(0.999, 0.5, 1.6, 3)
+
+
+def test_walk_reaches_what_all_pairs_link():
+    pick = np.random.default_rng(9)
+    base = pick.integers(0, 256, (6, 64), dtype=np.uint8)
+    sketch = base[pick.integers(0, 6, 300)].copy()
+    for row in sketch:  # chains: some copies are near one another only by way of a third
+        row[pick.choice(64, pick.integers(0, 16), replace=False)] = pick.integers(0, 256)
+    size = pick.integers(90, 125, 300)
+
+    def parts(a, b):
+        a, b = forest(np.asarray(a, np.int64), np.asarray(b, np.int64))
+        return set(zip(a.tolist(), b.tolist(), strict=True))
+
+    def pairs(left, right):
+        same = [(x, y) for x in left for y in right if x != y and (sketch[x] == sketch[y]).sum() >= 45 and min(size[x], size[y]) >= 0.8 * max(size[x], size[y])]
+        return parts(*zip(*same, strict=True))
+
+    everything, left = np.arange(300), np.nonzero(pick.random(300) < 0.4)[0]
+    right = np.setdiff1d(everything, left)
+    assert parts(*walk(sketch, size, everything, None, 0.8, 45)) == pairs(everything, everything)
+    assert parts(*walk(sketch, size, left, right, 0.8, 45)) == pairs(left, right)
+    assert len(walk(sketch, size, left[:0], right, 0.8, 45)[0]) == 0
+    assert len(walk(sketch, size, everything, None, 0.8, 45)[0]) < 300
