@@ -63,6 +63,10 @@ def bfr_rounds(spark, sf_dir):
     return C.bfr(_points(spark, sf_dir).withColumn("features", F.transform("features", lambda x: x.cast("double"))), 5)[0]
 
 
+def bfr_assignments(spark, sf_dir):
+    return C.bfr(_points(spark, sf_dir).withColumn("features", F.transform("features", lambda x: x.cast("double"))), 5)[1]
+
+
 _SEQ = "e AS (SELECT user_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events)"
 
 
@@ -98,4 +102,4 @@ SQL = {
         SELECT id, cluster, round(d, 4) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1""",
 }
 
-QUERIES = {f.__name__: f for f in (bloom_fpr_by_window, fm_distinct_by_window, fm_ratio, running_distinct_users, reservoir_snapshots, events_tumbling_count, cluster_summaries, nearest_centroid_mahalanobis, kmeans_assign, bfr_rounds)}
+QUERIES = {f.__name__: f for f in (bloom_fpr_by_window, fm_distinct_by_window, fm_ratio, running_distinct_users, reservoir_snapshots, events_tumbling_count, cluster_summaries, nearest_centroid_mahalanobis, kmeans_assign, bfr_rounds, bfr_assignments)}

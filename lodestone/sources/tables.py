@@ -88,6 +88,23 @@ def itemset_report(itemsets: DataFrame) -> DataFrame:
     return lines.orderBy("size").select("value")
 
 
+def candidate_report(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Both tables of itemsets under their headings, with an empty line after each size (K3).
+
+    The order is part of the report: the section, the size, the line. No itemsets leave the heading alone.
+    """
+    spark = candidates.sparkSession
+    parts = None
+    for section, (heading, itemsets) in enumerate([("Candidates:", candidates), ("Frequent Itemsets:", frequent)]):
+        quoted = F.concat(F.lit("('"), F.array_join("items", "', '"), F.lit("')"))
+        lines = itemsets.groupBy("size").agg(F.array_join(F.array_sort(F.collect_list(quoted)), ",").alias("value"))
+        lines = lines.select(F.lit(section).alias("section"), "size", F.posexplode(F.array("value", F.lit(""))).alias("line", "value"))
+        top = spark.range(1).select(F.lit(section).alias("section"), F.lit(0).alias("size"), F.lit(0).alias("line"), F.lit(heading).alias("value"))
+        both = top.unionByName(lines)
+        parts = both if parts is None else parts.unionByName(both)
+    return parts.orderBy("section", "size", "line").select("value")
+
+
 def community_report(communities: DataFrame) -> DataFrame:
     """One community a line, members quoted, by (size, first member) (K4)."""
     return communities.orderBy("size", F.col("members")[0]).select(F.concat(F.lit("'"), F.array_join(F.transform("members", lambda x: x.cast("string")), "', '"), F.lit("'")).alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.functions.scalars import PRIME, linear_hashes
+from lodestone.functions.scalars import PRIME, linear_hashes, trailing_zeros
 from lodestone.operators.streams import BITS
 
 
@@ -27,6 +27,19 @@ def tumbling_count(events: DataFrame, length: str = "1 hour", late: str = "10 mi
     )
 
 
+def distinct_estimate(events: DataFrame, user: str = "user_id", length: str = "1 hour", late: str = "10 minutes", hashes: int = 50, modulus: int = 997, time: str = "ts") -> DataFrame:
+    """start, estimate of the distinct users in each window of event time, by Flajolet and Martin (M9).
+
+    The estimate is the mean over the hashes of 2^R, R the most trailing zeros, rounded down. State is one
+    number for each hash and open window, whatever the users; null users are not counted. All is built in.
+    """
+    zeros = [trailing_zeros(F.pmod(F.pmod(F.col(user) * a + b, F.lit(PRIME)), F.lit(modulus))) for a, b in linear_hashes(hashes, modulus)]
+    rows = events.where(F.col(user).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    most = rows.groupBy(F.window(time, length)).agg(*(F.max(z).alias(f"r{j}") for j, z in enumerate(zeros)))
+    total = F.aggregate(F.array(*(F.pow(F.lit(2.0), f"r{j}") for j in range(hashes))), F.lit(0.0), lambda a, x: a + x)
+    return most.select(F.col("window.start").alias("start"), F.floor(total / hashes).cast("long").alias("estimate"))
+
+
 def bloom(events: DataFrame, user: str = "user_id", shards: int = 8, hashes: int = 50, bits: int = BITS) -> DataFrame:
     """shard, unseen, false_positives of each micro-batch: a Bloom filter for each hash shard of the users.
 

@@ -22,6 +22,9 @@ def test_readers(spark, tmp_path):
 def test_reports(spark, tmp_path):
     sets = spark.createDataFrame([(1, ["b"]), (1, ["a"]), (2, ["a", "b"])], "size int, items array<string>")
     assert [r.value for r in T.itemset_report(sets).collect()] == ["('a'),('b')", "('a', 'b')"]
+    whole = [r.value for r in T.candidate_report(sets, sets.where("size = 1")).collect()]
+    assert whole == ["Candidates:", "('a'),('b')", "", "('a', 'b')", "", "Frequent Itemsets:", "('a'),('b')", ""]
+    assert [r.value for r in T.candidate_report(sets.limit(0), sets.limit(0)).collect()] == ["Candidates:", "Frequent Itemsets:"]
     groups = spark.createDataFrame([(2, [3, 4]), (1, [9])], "size int, members array<long>")
     assert [r.value for r in T.community_report(groups).collect()] == ["'9'", "'3', '4'"]
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.5)], "src long, dst long, betweenness double")
@@ -47,5 +50,13 @@ def test_streaming_keeps_state_across_batches(spark, tmp_path):
     run(X.reservoir(read(), size=20), "kept")
     last = spark.sql("SELECT max(seen) AS seen, max(size(sample)) AS n FROM kept").first()
     assert (last.seen, last.n) == (600, 20)
+    from lodestone.operators.streams import distinct_by_window
+
+    batch = spark.read.parquet(str(tmp_path / "in")).withColumn("seq", F.unix_timestamp("ts") / 60 + 1)  # 60 rows an hour
+    wanted = {(r.window * 3600, r.estimate) for r in distinct_by_window(batch, "user_id", 60).collect()}
+    at_once = X.read_files(spark, str(tmp_path / "in"), "ts timestamp, user_id long", files=100)  # nothing comes late
+    run(X.distinct_estimate(at_once, late="0 seconds"), "estimates")
+    found = {(r.at, r.estimate) for r in spark.sql("SELECT unix_timestamp(start) AS at, estimate FROM estimates").collect()}
+    assert found and found <= wanted
     run(X.tumbling_count(read(), late="0 seconds"), "hours")
     assert 0 < spark.sql("SELECT sum(n) FROM hours").first()[0] <= 600
