@@ -90,8 +90,12 @@ def _features(spark, sf_dir):
     return rows.select("user", "item", "r", "held", *FEATURES)
 
 
+#: Features that are means, to four digits in the query; its counts and balances are as they are.
+MEANS = ["discount", "tax", "price", "user_mean", "item_mean"]
+
+
 def gbt_features(spark, sf_dir):
-    return _features(spark, sf_dir).select("user", "item", *(F.round(c, 4).alias(c) for c in FEATURES))
+    return _features(spark, sf_dir).select("user", "item", *((P.half_away(F.col(c)) if c in MEANS else F.col(c)).alias(c) for c in FEATURES))
 
 
 def gbt_predict(spark, sf_dir):

@@ -241,3 +241,19 @@ def test_stored_models_local_tables_and_missing_words(spark, tmp_path):
     words = local_table(spark, [("None",), ("a",), (None,)], "w string").select(absent(F.col("w")).alias("w"))
     assert sorted(str(r.w) for r in words.collect()) == ["None", "None", "a"]
     assert draw(rows, 5, "user").count() == 5 and draw_again(rows, 90, "user").count() == 90 and draw_again(rows.limit(0), 3, "user").count() == 0
+
+
+def test_draw_has_no_open_ties(spark):
+    many = spark.range(400).select(F.lit(1).alias("key"), F.col("id").alias("value"))
+    want = [(1, i) for i in range(5)]
+    for parts in (1, 7):
+        for rows_of in (many.repartition(parts, "value"), many.orderBy(F.desc("value")).coalesce(parts)):
+            assert rows(R.draw(rows_of, 5, "key")) == want
+
+
+def test_means_are_rounded_as_sql_does(spark):
+    values = [55553.55124999999, 0.04625, 2.96435, -0.00005, 0.0, 48227.05874999999, None]
+    found = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(P.half_away(F.col("v")).alias("x")).collect()]
+    db = pytest.importorskip("duckdb").connect()
+    assert found == [db.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values]
+    assert found[0] == 55553.5513
