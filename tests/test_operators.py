@@ -252,8 +252,8 @@ def test_draw_has_no_open_ties(spark):
 
 
 def test_means_are_rounded_as_sql_does(spark):
-    values = [55553.55124999999, 0.04625, 2.96435, -0.00005, 0.0, 48227.05874999999, None]
+    values = [28.266949999999998, 0.04625, 2.96435, -0.00005, 0.0, 48227.05874999999, None]
     found = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(P.half_away(F.col("v")).alias("x")).collect()]
     db = pytest.importorskip("duckdb").connect()
     assert found == [db.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values]
-    assert found[0] == 55553.5513
+    assert found[0] == 28.267 != 28.2669
