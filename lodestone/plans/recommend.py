@@ -12,7 +12,8 @@ def _ratings(spark, sf_dir):
     """user, item, r, held: the mean stars of a customer for a part; held out by the last order."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"), (1 + F.expr("CAST(l_quantity AS INT) % 5")).alias("stars"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user"))
-    mean = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("user", "item").agg(F.avg("stars").alias("r"), (F.max("l_orderkey") % 10 == 0).alias("held"))
+    dealt = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).repartition("item")  # serves what groups by item besides
+    mean = dealt.groupBy("user", "item").agg(F.avg("stars").alias("r"), (F.max("l_orderkey") % 10 == 0).alias("held"))
     return mean
 
 
@@ -29,16 +30,15 @@ def _rounded(df):
 def item_similarity(spark, sf_dir):
     """Weights of six digits, without noise in ties."""
     train, _ = _split(spark, sf_dir)
-    return P.item_similarity(train).where("a < b").select("a", "b", "n", P.six_digits(F.col("weight")).alias("weight"))
+    return P.item_pairs(train).select("a", "b", "n", P.six_digits(F.col("weight")).alias("weight"))
 
 
 def cf_predict(spark, sf_dir):
-    return _rounded(P.predict_by_items(*_split(spark, sf_dir)))
+    return _rounded(P.predict_held(_ratings(spark, sf_dir)))
 
 
 def hybrid_blend(spark, sf_dir):
-    train, held = _split(spark, sf_dir)
-    return _rounded(P.blend(P.predict_by_items(train, held), P.bias_model(train, held)))
+    return _rounded(P.blend_held(_ratings(spark, sf_dir)))
 
 
 def ensemble_mean(spark, sf_dir):

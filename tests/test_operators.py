@@ -257,3 +257,65 @@ def test_means_are_rounded_as_sql_does(spark):
     db = pytest.importorskip("duckdb").connect()
     assert found == [db.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values]
     assert found[0] == 28.267 != 28.2669
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_item_pairs_in_many_blocks_shuffle_lists_alone(spark, monkeypatch, kind):
+    monkeypatch.setattr(P, "BLOCK_PAIRS", 40)
+    pick = random.Random(5)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"i{i:02}")
+    train = [(u, name(i), float(pick.randint(1, 5))) for u in range(30) for i in pick.sample(range(25), 8)]
+    df = spark.createDataFrame([*train, (None, name(3), 2.0), (4, None, 1.0)], f"user long, item {kind}, r double")
+    pairs = P.item_pairs(df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(a" not in plan
+    by_item, means = defaultdict(dict), defaultdict(list)
+    for u, i, r in train:
+        by_item[i][u] = r
+        means[i].append(r)
+    means[name(3)].append(2.0)
+    mean = {i: sum(v) / len(v) for i, v in means.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(by_item), 2):
+        both = [(by_item[a][u], by_item[b][u]) for u in by_item[a] if u in by_item[b]]
+        if len(both) == 1:
+            want[a, b] = (1, (5 - abs(mean[a] - mean[b])) / 5)
+        elif len(both) == 2:
+            want[a, b] = (2, sum((5 - abs(x - y)) / 5 for x, y in both) / 2)
+        elif both:
+            mx, my = (sum(v) / len(both) for v in zip(*both, strict=True))
+            norm = math.sqrt(sum((x - mx) ** 2 for x, _ in both) * sum((y - my) ** 2 for _, y in both))
+            want[a, b] = (len(both), sum((x - mx) * (y - my) for x, y in both) / norm if norm > 1e-9 else 0.0)
+    got = {(r.a, r.b): (r.n, r.weight) for r in pairs.collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    targets = [(u, name(i)) for u in (0, 3, 7, 99) for i in (1, 5, 9, 77)]
+    asked = spark.createDataFrame([*targets, targets[0], (None, name(1)), (2, None)], f"user long, item {kind}")
+    found = P.predict_by_items(df, asked).collect()
+    said = {(r.user, r.item): r.prediction for r in found}
+    assert len(found) == len(targets) + 2 and said[None, name(1)] == 3.5
+    monkeypatch.setattr(P, "BLOCK_PAIRS", 1 << 23)
+    assert {(r.user, r.item): pytest.approx(r.prediction, abs=1e-12) for r in P.predict_by_items(df, asked).collect()} == said
+
+
+def test_an_item_of_very_many_pairs_is_taken_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    pick = random.Random(6)
+    rows_of = [sorted(pick.sample(range(12), 6)) for _ in range(40)]
+    rs = [[float(pick.randint(1, 5)) for _ in x] for x in rows_of]
+    table = {"block": [0] * 40, "user": list(range(40)), "lo": [0] * 40, "k": [6] * 40, "items": rows_of, "rs": rs, "means": [[3.0] * 6] * 40}
+
+    def weighed():
+        block = P._Block([pa.RecordBatch.from_pydict(table)])
+        count, out = block.ends[block.row[block.own]] - 1 - block.own, {}
+        for cut in block.chunks(block.own, count):
+            for i, j in block.parts(block.own[cut], block.own[cut] + 1, count[cut]):
+                key, n, weight = block.weights(i, j)
+                assert not set(out) & set(key.tolist())
+                out.update(zip(key.tolist(), zip(n.tolist(), weight.tolist(), strict=True), strict=True))
+        return out
+
+    whole = weighed()
+    monkeypatch.setattr(P, "AT_ONCE", 5)
+    assert weighed() == whole
