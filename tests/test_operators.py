@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -71,6 +72,34 @@ def test_jaccard_and_lsh(spark):
     assert set(found) <= set(want) and len(found) >= 0.95 * len(want)
 
 
+def scratch_bytes(spark):
+    """Size of what Spark has shuffled and spilled so far."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(os.path.getsize(os.path.join(top, f)) for d in dirs for top, _, files in os.walk(str(d)) for f in files)
+
+
+def near_copies(seed, copies=120, size=300):
+    """Sets that share 280 items each with the others, the first twice."""
+    pick = random.Random(seed)
+    common = pick.sample(range(1 << 30), size - 20)
+    sets = {g: {*common, *pick.sample(range(1 << 30, (1 << 31) - 1), 20)} for g in range(copies)}
+    return sets | {copies: sets[0]}
+
+
+def test_lsh_sends_a_set_once_not_once_for_each_pair(spark):
+    sets = near_copies(5)
+    df = spark.createDataFrame([(g, i) for g, own in sets.items() for i in own], "g long, i long").cache()
+    df.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = scratch_bytes(spark)
+        found = rows(S.lsh_jaccard(df, "g", "i"))
+        assert scratch_bytes(spark) - before < 1 << 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == [(a, b, 1.0 if (a, b) == (0, 120) else 0.875) for a, b in itertools.combinations(sorted(sets), 2)]
+
+
 def plain_cf(train, user, item):
     by_item, by_user = defaultdict(dict), defaultdict(dict)
     for u, i, r in train:
