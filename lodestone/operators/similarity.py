@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import PRIME
-from lodestone.operators.streams import numbered
 from lodestone.sources.tables import checkpoint, stored
 
 
@@ -21,35 +20,133 @@ def coefficients(n: int) -> list[tuple[int, int]]:
     return [((7919 * (j + 1) * (j + 1) + 104729) % 999983 + 1, (15485863 * (j + 3)) % 999979) for j in range(n)]
 
 
-def _verified(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a < b, similarity of candidate pairs (g, h), by their whole item sets."""
-    both = met.join(sets.select("g", "items"), "g").join(sets.select(F.col("g").alias("h"), F.col("items").alias("others")), "h")
-    common = F.size(F.array_intersect("items", "others"))
-    similarity = common / (F.size("items") + F.size("others") - common)
-    return both.select("g", "h", similarity.alias("s")).where(F.col("s") >= threshold).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"), F.round("s", 6).alias("similarity"))
+#: The most frequent items, which stand as numbers of 16 bits.
+FREQUENT = 32768
+BITS = 1024
 
 
-def jaccard_exact(rows: DataFrame, group: str, item: str, threshold: float = 0.5) -> DataFrame:
+def _ranges(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` places from each of ``low`` on."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + count, count)
+
+
+def similar_pairs(codes: np.ndarray, start: np.ndarray, right: np.ndarray, left: np.ndarray, threshold: float, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of ``left`` and of smaller or earlier sets in ``right`` of that similarity, and what they have in common.
+
+    Sets stand by rising size, their numbers by rising frequency, as ``jaccard_exact`` has them. Pairs that
+    meet in their prefixes are held for a few sets at a time; a pair whose parities of items by 1,024 bits differ in too many places
+    cannot be similar, the others are compared.
+    """
+    size = np.diff(start)
+    total, share = len(size), threshold / (1 + threshold)
+    prefix = lambda part: (size - np.ceil(size * part - 1e-9) + 1).astype(np.int64)
+    few, many = prefix(2 * share), prefix(threshold)
+    doc, at = np.repeat(right, few[right]), _ranges(start[right], few[right])
+    key = codes[at].astype(np.int64) * total + doc
+    order = np.argsort(key)
+    key, doc, rest = key[order], doc[order], (start[doc + 1] - at)[order]
+    bits = np.zeros((total, BITS // 64), np.uint64)
+    for x in range(total):
+        place = (codes[start[x] : start[x + 1]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+        bits[x] = np.packbits((np.bincount(place.astype(np.int64), minlength=BITS) & 1).astype(bool)).view(np.uint64)
+    least = np.searchsorted(size, np.ceil(size * threshold - 1e-9))
+    found: list[np.ndarray] = []
+    for part in np.array_split(left, max(1, len(left) // 256)):
+        owner, place = np.repeat(part, many[part]), _ranges(start[part], many[part])
+        code = codes[place].astype(np.int64) * total
+        low, high = np.searchsorted(key, code + least[owner]), np.searchsorted(key, code + owner)
+        count = np.maximum(high - low, 0)
+        cuts = np.searchsorted(np.cumsum(count), np.arange(most, count.sum() + most, most)) if len(count) else []
+        kept = []
+        for x, y in zip([0, *cuts], [*cuts, len(count)], strict=True):
+            of = np.repeat(np.arange(x, y), count[x:y])
+            met = _ranges(low[x:y], count[x:y])
+            g, h = owner[of], doc[met]
+            ok = np.minimum(start[g + 1] - place[of], rest[met]) >= (size[g] + size[h]) * share - 1e-9
+            kept.append(np.unique(g[ok] * total + h[ok]))
+        pairs = np.unique(np.concatenate(kept))
+        for x in range(0, len(pairs), 1 << 18):
+            g, h = np.divmod(pairs[x : x + (1 << 18)], total)
+            apart = np.bitwise_count(bits[g] ^ bits[h]).sum(1, dtype=np.int64)
+            found.append(pairs[x : x + (1 << 18)][size[g] + size[h] - apart >= 2 * ((size[g] + size[h]) * share - 1e-9)])
+    g, h = np.divmod(np.concatenate([np.zeros(0, np.int64), *found]), max(total, 1))
+    common = _common(codes, start, g, h)
+    ok = common >= (size[g] + size[h]) * share - 1e-9
+    return g[ok], h[ok], common[ok]
+
+
+def jaccard_exact(rows: DataFrame, group: str, item: str, threshold: float = 0.5, block: int = 8 << 20) -> DataFrame:
     """a, b, similarity: pairs of groups whose item sets have a Jaccard similarity of ``threshold`` or more.
 
-    Items are numbered by rising frequency. Of two similar sets the first item in common stands among
+    Items stand by rising frequency: as hashes of 62 bits, the most frequent as their ranks. Of two similar sets the first item in common stands among
     the first ``n - ceil(t n) + 1`` of the larger set and, as the smaller one must share more of its own,
     among the first ``m - ceil(2t / (1 + t) m) + 1`` of that. Only these are joined, and a pair goes on
-    if its sizes fit and what follows the item in either set could still make up the overlap. Whole
-    sets, of numbers, are fetched only for those.
-    """
-    pairs = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    codes = numbered(pairs.groupBy("i").agg(F.count("*").alias("often")), "often", "i", name="code").select("i", "code")
-    sets = checkpoint(pairs.join(codes, "i").groupBy("g").agg(F.array_sort(F.collect_list("code")).alias("items")).withColumn("n", F.size("items")))
-
-    def prefix(share: float, names: list[str]) -> DataFrame:
-        keep = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1).cast("int")
-        return sets.select("g", "n", F.posexplode(F.slice("items", F.lit(1), keep)).alias("at", "i")).select("i", "g", "n", (F.col("n") - F.col("at")).alias("left")).toDF("i", *names)
+    if its sizes fit and what follows the item in either set could still make up the overlap.
 
-    larger, smaller = prefix(threshold, ["g", "n", "left"]), prefix(2 * threshold / (1 + threshold), ["h", "m", "rest"])
-    fits = (F.struct("m", "h") < F.struct("n", "g")) & (F.col("m") >= threshold * F.col("n"))
-    enough = F.least("left", "rest") >= (F.col("n") + F.col("m")) * F.lit(threshold / (1 + threshold)) - 1e-9
-    return _verified(larger.join(smaller, "i").where(fits & enough).select("g", "h").distinct(), sets, threshold)
+    Sets are dealt by size to blocks of about ``block`` items, and each pair of blocks whose sizes fit is one task,
+    which joins and compares its sets; only similar pairs leave it. So a set is sent to as many
+    tasks as blocks fit its own, however many pairs it meets. Groups are integers.
+    """
+    kind = rows.schema[group].dataType
+    pairs = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).cast("long").alias("g"), F.xxhash64(item).alias("i"))
+    often = pairs.groupBy("i").agg(F.count("*").alias("often")).orderBy(F.desc("often"), "i").limit(FREQUENT)
+    rank = stored(often.groupBy().agg(F.collect_list("i").alias("top")).select(F.posexplode("top").alias("rank", "i")))
+    rare = F.shiftrightunsigned("i", 2)
+    codes = pairs.join(F.broadcast(rank), "i", "left").select("g", F.when(F.col("rank").isNull(), rare).otherwise(F.lit(-1) - F.col("rank").cast("long")).alias("code"))
+    sets = codes.groupBy("g").agg(F.collect_set("code").alias("items"))
+
+    def pack(batches):
+        for batch in batches:
+            whole, at = batch.column("items").flatten().to_numpy(), 0
+            packed, n = [], np.diff(batch.column("items").offsets.to_numpy())
+            for size in n:
+                own = np.sort(whole[at : at + size])
+                at += size
+                common = np.searchsorted(own, 0)  # the rarest of the frequent ones first
+                packed.append(own[common:].tobytes() + (own[:common] + FREQUENT).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(n, pa.int64()), pa.array([len(x) for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["g", "n", "bytes", "packed"])
+
+    place = (F.pmod(F.xxhash64("g"), F.lit(1 << 20)) / float(1 << 20)).alias("place")
+    sets = stored(sets.mapInArrow(pack, "g long, n long, bytes long, packed binary").select("*", place))
+    sizes = np.array(sets.groupBy("n").agg(F.count("*")).orderBy("n").collect(), np.float64).reshape(-1, 2)
+    ends = np.cumsum(sizes[:, 0] * sizes[:, 1])
+    bounds = np.zeros(0)
+    for k in np.arange(block, ends[-1] if len(ends) else 0, block):  # a size may be cut within
+        x = np.searchsorted(ends, k)
+        bounds = np.append(bounds, sizes[x, 0] + 1 - (ends[x] - k) / (sizes[x, 0] * sizes[x, 1]))
+    first, last = np.floor(np.concatenate([[0], bounds])), np.floor(np.concatenate([bounds, [np.inf]]))
+    fits = [(i, j) for j in range(len(first)) for i in range(j + 1) if last[i] >= threshold * first[j]]
+
+    def deal(batches):
+        for batch in batches:
+            own = np.searchsorted(bounds, batch.column("n").to_numpy() + batch.column("place").to_numpy(), side="right")
+            for i, j in fits:
+                at = np.nonzero((own == i) | (own == j))[0]
+                if len(at):
+                    some = batch.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(np.full(len(at), j), pa.int32()), pa.array(own[at], pa.int32()), *some.columns], ["i", "j", "own", *some.schema.names])
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("own", "ascending"), ("n", "ascending"), ("place", "ascending"), ("g", "ascending")])
+        g, n, own, size = (cell.column(c).to_numpy() for c in ("g", "n", "own", "bytes"))
+        rares = (size - 2 * n) // 6
+        data = [x.as_buffer() for x in cell.column("packed")]
+        heads = [np.frombuffer(x, np.int64, r) for x, r in zip(data, rares, strict=True)]
+        known, head = np.unique(np.concatenate(heads), return_inverse=True)
+        start = np.concatenate([[0], np.cumsum(n)])
+        numbers = np.empty(start[-1], np.int32)
+        numbers[_ranges(start[:-1], rares)] = head
+        for x, (whole, r) in enumerate(zip(data, rares, strict=True)):
+            numbers[start[x] + r : start[x + 1]] = np.frombuffer(whole, np.uint16, n[x] - r, 8 * r).astype(np.int32) + len(known)
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        a, b, common = similar_pairs(numbers, start, np.nonzero(own == i)[0], np.nonzero(own == j)[0], threshold)
+        return pa.table({"g": pa.array(g[a], pa.int64()), "h": pa.array(g[b], pa.int64()), "n": pa.array(n[a], pa.int64()), "m": pa.array(n[b], pa.int64()), "common": pa.array(common, pa.int64())})
+
+    cells = sets.mapInArrow(deal, "i int, j int, own int, g long, n long, bytes long, packed binary, place double")
+    found = cells.groupBy("i", "j").applyInArrow(compare, "g long, h long, n long, m long, common long")
+    found = found.select("g", "h", _alike(F.col("common"), F.col("n"), F.col("m")).alias("s")).where(F.col("s") >= threshold)
+    return found.select(F.least("g", "h").cast(kind).alias("a"), F.greatest("g", "h").cast(kind).alias("b"), F.round("s", 6).alias("similarity"))
 
 
 def minhash(rows: DataFrame, group: str, item: str | Column, hashes: int = 60) -> DataFrame:
@@ -79,14 +176,19 @@ def _agreeing(a: str, b: str, hashes: int) -> Column:
     return F.lit(hashes) - apart
 
 
-def overlap_counts(items: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: int = 1 << 21) -> np.ndarray:
-    """How many items the sets at ``a`` and ``b`` have in common, for each pair of places; pairs are in the order of ``a``.
+def overlap_counts(items: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many items the sets at ``a`` and ``b`` have in common, for each pair of places; pairs are in the order of ``a``."""
+    size = np.array([len(x) for x in items], np.int64)
+    _, codes = np.unique(np.concatenate(items), return_inverse=True)
+    return _common(codes, np.concatenate([[0], np.cumsum(size)]), a, b)
+
+
+def _common(codes: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """The same for sets of small numbers, one behind the other in ``codes``.
 
     Each set of ``a`` is marked once, then the items of its partners are looked up, about ``most`` at a time.
     """
-    size = np.array([len(x) for x in items], np.int64)
-    start = np.concatenate([[0], np.cumsum(size)])
-    _, codes = np.unique(np.concatenate(items), return_inverse=True)
+    size = np.diff(start)
     marked = np.zeros(codes.max(initial=0) + 1, bool)
     common = np.zeros(len(a), np.int64)
     edges = np.concatenate([[0], np.nonzero(a[1:] != a[:-1])[0] + 1, [len(a)]]) if len(a) else np.zeros(0, np.int64)

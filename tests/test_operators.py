@@ -100,6 +100,21 @@ def test_lsh_sends_a_set_once_not_once_for_each_pair(spark):
     assert found == [(a, b, 1.0 if (a, b) == (0, 120) else 0.875) for a, b in itertools.combinations(sorted(sets), 2)]
 
 
+def test_exact_jaccard_sends_sets_to_blocks_not_to_pairs(spark):
+    sets = near_copies(6)
+    df = spark.createDataFrame([(g, i) for g, own in sets.items() for i in own], "g long, i long").cache()
+    df.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = scratch_bytes(spark)
+        found = rows(S.jaccard_exact(df, "g", "i"))
+        assert scratch_bytes(spark) - before < 1 << 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == [(a, b, 1.0 if (a, b) == (0, 120) else 0.875) for a, b in itertools.combinations(sorted(sets), 2)]
+    assert rows(S.jaccard_exact(df.where("g < 40"), "g", "i", block=2000)) == [p for p in found if p[1] < 40]
+
+
 def plain_cf(train, user, item):
     by_item, by_user = defaultdict(dict), defaultdict(dict)
     for u, i, r in train:
