@@ -257,6 +257,8 @@ def join_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recal
         if depth < levels - 1:
             more = known.where(F.col("n") > bucket).join(classes.select("rep", "paths"), "rep")
             level = more.select("rep", "run", "bucket", F.explode(F.col("paths")[F.col("run")][depth + 1]).alias("token")).select("rep", "run", F.xxhash64("bucket", "token").alias("bucket")).distinct()
+            level = save(level, f"join-paths-{depth + 1}")  # counted and joined below: split once
+            done_with.append(level)
 
     # sketches in the buckets; small buckets share a task's call
     total = final.agg(F.sum("blocks")).first()[0] or 0

@@ -125,3 +125,14 @@ def test_walk_reaches_what_all_pairs_link():
     assert parts(*walk(sketch, size, left, right, 0.8, 45)) == pairs(left, right)
     assert len(walk(sketch, size, left[:0], right, 0.8, 45)[0]) == 0
     assert len(walk(sketch, size, everything, None, 0.8, 45)[0]) < 300
+
+
+def test_a_level_is_split_once(spark, monkeypatch):
+    from lodestone.llm import jaccard_join
+
+    made, real = [], jaccard_join.save
+    monkeypatch.setattr(jaccard_join, "save", lambda df, name: made.append(name) or real(df, name))
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j k l m n o p q r s t u v w x y z " + str(i)) for i in range(8)], "doc_id long, text string")
+    found = jaccard_join.join_documents(docs, levels=2, bucket=4).collect()
+    assert "join-paths-1" in made
+    assert [r.n_links for r in found] == [7] * 8 and {r.component_id for r in found} == {0}
