@@ -8,11 +8,11 @@ from lodestone.operators import recommend as P
 from lodestone.sources.tables import checkpoint, table
 
 
-def _ratings(spark, sf_dir):
-    """user, item, r, held: the mean stars of a customer for a part; held out by the last order."""
+def _ratings(spark, sf_dir, by="item"):
+    """user, item, r, held: the mean stars of a customer for a part; held out by the last order. Dealt by ``by``."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"), (1 + F.expr("CAST(l_quantity AS INT) % 5")).alias("stars"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user"))
-    dealt = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).repartition("item")  # serves what groups by item besides
+    dealt = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).repartition(by)  # serves what groups by it besides
     mean = dealt.groupBy("user", "item").agg(F.avg("stars").alias("r"), (F.max("l_orderkey") % 10 == 0).alias("held"))
     return mean
 
@@ -34,11 +34,11 @@ def item_similarity(spark, sf_dir):
 
 
 def cf_predict(spark, sf_dir):
-    return _rounded(P.predict_held(_ratings(spark, sf_dir)))
+    return _rounded(P.predict_held(_ratings(spark, sf_dir, "user")))
 
 
 def hybrid_blend(spark, sf_dir):
-    return _rounded(P.blend_held(_ratings(spark, sf_dir)))
+    return _rounded(P.blend_held(_ratings(spark, sf_dir, "user")))
 
 
 def ensemble_mean(spark, sf_dir):

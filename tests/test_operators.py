@@ -6,6 +6,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,3 +364,40 @@ def test_an_item_of_very_many_pairs_is_taken_in_parts(monkeypatch):
     whole = weighed()
     monkeypatch.setattr(P, "AT_ONCE", 5)
     assert weighed() == whole
+
+
+def test_predictions_pack_lists_that_are_spread_over_all_blocks(spark, monkeypatch):
+    pick = random.Random(9)
+    rows = [(u, i, float(pick.randint(1, 5)), pick.random() < 0.1) for u in range(400) for i in pick.sample(range(3000), 40)]
+    df = spark.createDataFrame(rows, "user long, item long, r double, held boolean")
+    want = {(r.user, r.item): r.prediction for r in P.predict_held(df).collect()}
+    assert len(want) == sum(x[3] for x in rows)
+    monkeypatch.setattr(P, "BLOCK_ASKED", 8000)
+    lists = P._own_lists(P._marked(df))
+    sent, dealt = [], P._packed
+    size = lambda *x: sent.append((len(x), len(out := dealt(*x)))) or out
+    users, items = np.arange(400), np.sort(np.array([x[1] for x in rows]).reshape(400, 40)).reshape(-1)
+    size(users, np.full(400, 3.0), np.full(400, 40), np.zeros(400, np.int64), items, np.array([x[2] for x in rows]))
+    assert sent[0][1] < 4 * len(rows)  # 24 bytes and more for an entry before
+    for part in (np.array([5, -(1 << 62), 3]), np.array([2, 1], np.int32), np.array([1.5, np.nan]), np.array(["b", "a"], object)):
+        assert all(np.array_equal(x, y, equal_nan=x.dtype.kind == "f") and x.dtype.kind == y.dtype.kind for x, y in zip(P._unpacked(P._packed(part, part)), (part, part), strict=True))
+    plan = P._near(lists, 15)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "data#" in plan and "array<double>" not in plan.split("hashpartitioning(block")[0]
+    got = {(r.user, r.item): r.prediction for r in P.predict_held(df).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    # in one place: passes of few pairs, and parts of one item's
+    own = [(r.user, r.user_mean, r["items"], r.rs) for r in lists.collect()]
+    flat = [(k, i, r) for k, x in enumerate(own) for i, r in zip(x[2], x[3], strict=True)]
+    flat.sort(key=lambda x: (x[2] is None, x[0]))
+    count = lambda none: np.bincount([x[0] for x in flat if (x[2] is None) == none], minlength=len(own))
+    data = P._packed(np.array([x[0] for x in own]), np.array([x[1] for x in own]), count(False), count(True), np.array([x[1] for x in flat]), np.array([np.nan if x[2] is None else x[2] for x in flat]))
+    mean = defaultdict(list)
+    for _, i, r in flat:
+        if r is not None:
+            mean[i].append(r)
+    means = P._packed(np.array(sorted(mean)), np.array([sum(mean[i]) / len(mean[i]) for i in sorted(mean)]))
+    monkeypatch.setattr(P, "PASS_ASKED", 50)
+    monkeypatch.setattr(P, "PASS_FOUND", 3)
+    few = list(P._Asked([data], [means], 15).run())
+    assert len(few) > 100
+    assert {(u, i): p for x in few for u, i, p in zip(*x[:3], strict=True)} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
