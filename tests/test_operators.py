@@ -401,3 +401,17 @@ def test_predictions_pack_lists_that_are_spread_over_all_blocks(spark, monkeypat
     few = list(P._Asked([data], [means], 15).run())
     assert len(few) > 100
     assert {(u, i): p for x in few for u, i, p in zip(*x[:3], strict=True)} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_blend_of_packed_lists_equals_both_models(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_ASKED", 500)
+    pick = random.Random(3)
+    rows = [(u, i, float(pick.randint(1, 5)), pick.random() < 0.2) for u in range(60) for i in pick.sample(range(200), 10)]
+    df = spark.createDataFrame([*rows, (77, 5, 2.0, True), (3, 999, 4.0, True)], "user long, item long, r double, held boolean")
+    train, held = df.where("not held"), df.where("held")
+    want = {(r.user, r.item): r.prediction for r in P.blend(P.predict_by_items(train, held), P.bias_model(train, held)).collect()}
+    blended = P.blend_held(df)
+    assert "array<double>" not in blended._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(block")[0]
+    assert {(r.user, r.item): r.prediction for r in blended.collect()} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    sent = blended._jdf.queryExecution().optimizedPlan().toString()
+    assert "data#" in sent and (77, 5) in want and (3, 999) in want
