@@ -144,7 +144,7 @@ def jaccard_exact(rows: DataFrame, group: str, item: str, threshold: float = 0.5
         return pa.table({"g": pa.array(g[a], pa.int64()), "h": pa.array(g[b], pa.int64()), "n": pa.array(n[a], pa.int64()), "m": pa.array(n[b], pa.int64()), "common": pa.array(common, pa.int64())})
 
     cells = sets.mapInArrow(deal, "i int, j int, own int, g long, n long, bytes long, packed binary, place double")
-    found = cells.groupBy("i", "j").applyInArrow(compare, "g long, h long, n long, m long, common long")
+    found = stored(cells.groupBy("i", "j").applyInArrow(compare, "g long, h long, n long, m long, common long"))  # a sort of the pairs would compare twice, first for its bounds
     found = found.select("g", "h", _alike(F.col("common"), F.col("n"), F.col("m")).alias("s")).where(F.col("s") >= threshold)
     return found.select(F.least("g", "h").cast(kind).alias("a"), F.greatest("g", "h").cast(kind).alias("b"), F.round("s", 6).alias("similarity"))
 

@@ -415,3 +415,10 @@ def test_blend_of_packed_lists_equals_both_models(spark, monkeypatch):
     assert {(r.user, r.item): r.prediction for r in blended.collect()} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
     sent = blended._jdf.queryExecution().optimizedPlan().toString()
     assert "data#" in sent and (77, 5) in want and (3, 999) in want
+
+
+def test_exact_jaccard_compares_once_where_its_pairs_are_sorted(spark):
+    rows = [(g, f"w{i}") for g in range(40) for i in range(g % 5, g % 5 + 12)]
+    found = S.jaccard_exact(spark.createDataFrame(rows, "g long, i string"), "g", "i").orderBy("a", "b")
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()  # sets are compared already
+    assert len(found.collect()) == sum(abs(x % 5 - y % 5) <= 4 for x in range(40) for y in range(x))
